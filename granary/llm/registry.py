@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.llm import exact_dedup, mixing, topk
+from granary.llm.exact_dedup import op1_exact_dedup
+from granary.llm.mixing import op3_mixing
+from granary.llm.packing import op9_packing
 from granary.llm.substring_dedup import op10_substring_dedup
 from granary.llm.suffix_dedup import op2_suffix_dedup
+from granary.llm.topk import op8_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_suffix_dedup, op10_substring_dedup)
+    found = (op1_exact_dedup, op2_suffix_dedup, op3_mixing, op8_topk, op9_packing, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op3_mixing": mixing.oracle_sql(), "op8_topk": topk.ORACLE_SQL}
