@@ -51,3 +51,17 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, weigh, limit: int = 8 <
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def kept_rows(docs: DataFrame, stay: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` are in ``stay``, with the columns of ``docs``.
+
+    ``stay`` has the names of ``keys`` and ``__rows``, the number of rows that share them; of those
+    one is returned. Texts are shuffled once, and a second time only if such rows exist.
+    """
+    names = list(keys)
+    keyed = docs.withColumns(keys)
+    out = keyed.join(stay.filter("__rows = 1").select(names), names, "left_semi")
+    if not stay.filter("__rows > 1").isEmpty():
+        out = out.unionByName(keyed.join(stay.filter("__rows > 1").select(names), names, "left_semi").dropDuplicates(names))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import partitions, text_of, written
+from granary.llm.common import kept_rows, partitions, text_of, written
 
 MEMTABLE_ROWS = 50_000
 MEMTABLE_BYTES = 48 << 20
@@ -146,10 +146,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = groups.filter("kept").select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest"))
     again = groups.groupBy(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__rows"))
     small = written(stay.join(again, ["__id", "__digest"]))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), "__digest": F.unhex(F.sha2(F.translate(text_of(text_col), UPPER, LOWER).cast("binary"), 256))})
-    found = keyed.join(small, ["__id", "__digest"])
-    once = found.filter("__rows = 1").unionByName(found.filter("__rows > 1").dropDuplicates(["__id", "__digest"]))
-    return once.select([F.col(f"`{c}`") for c in docs.columns])
+    keys = {"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), "__digest": F.unhex(F.sha2(F.translate(text_of(text_col), UPPER, LOWER).cast("binary"), 256))}
+    return kept_rows(docs, small, keys)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
