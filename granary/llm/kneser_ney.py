@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import text_of
+from granary.llm.common import text_of, written
 
 ALPHABET = 80  # symbols at most: tables have ALPHABET ** 3 entries
 CHUNK = 1 << 20  # characters that are scored at once
@@ -169,13 +169,17 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> QualityModel | None:
-    """Counts all text that ``labels`` marks with quality 1 and sets a threshold per language; None without any."""
+    """Counts all text that ``labels`` marks with quality 1 and sets a threshold per language; None without any.
+
+    Labels grow with the corpus, so their join is a sort-merge join at every size.
+    """
     trusted_ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")).filter("id is not null")
-    trusted = texts.mapInArrow(squeeze, "id long, text binary").join(trusted_ids, "id", "left_semi").select("text")
+    trusted = texts.mapInArrow(squeeze, "id long, text binary").join(trusted_ids.hint("merge"), "id", "left_semi").select("text")
     cost = train(trusted)
     model = QualityModel(cost, 0.0, {None: math.inf})
-    scores = model.score(docs, [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang")], text_col).join(trusted_ids, "id", "left_semi")
+    scored = model.score(docs, [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang")], text_col)
+    scores = written(scored.join(trusted_ids.hint("merge"), "id", "left_semi"))
     total = (F.col("n_symbols") + PRIOR) * F.log("perplexity")
     first = scores.agg(F.sum(total).alias("cost"), F.sum("n_symbols").alias("n")).first()
     if not first.n:
