@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.llm.boosting import Boosted
 from granary.llm.common import text_of
@@ -348,7 +349,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
     """
     rows = pages.select(text_of(html_col).cast("binary").alias("__html"), F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias(url_col))
-    out = rows.mapInArrow(extractor(train()), rows.drop("__html").schema.add("blocks", "array<string>"))
+    out = rows.mapInArrow(extractor(train()), rows.drop("__html").schema.add("blocks", T.ArrayType(T.StringType())))
     return out.withColumn("text", F.array_join("blocks", "\n\n"))
 
 
