@@ -104,8 +104,8 @@ def multiply(k: int):
                     yield from emit()
                     now, slot, queries = (tile, at), at, np.frombuffer(q_ids, np.int64)
                     lists = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
-                a, b = np.frombuffer(q_vectors, np.float64).reshape(-1, dim), np.frombuffer(vectors, np.float64).reshape(-1, dim)
                 own = np.frombuffer(ids, np.int64)
+                a, b = np.frombuffer(q_vectors, np.float64).reshape(len(queries), dim), np.frombuffer(vectors, np.float64).reshape(len(own), dim)
                 for x in range(0, len(queries), BLOCK):
                     scores = product(a[x : x + BLOCK], b)
                     for y, row in enumerate(scores, x):
