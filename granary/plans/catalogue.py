@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.sources.parquet import register_views
+from granary.sources.parquet import TABLES, register_views
 
 HIGH_ORDERS = "customer c left join orders o on c.c_custkey = o.o_custkey and o.o_totalprice > 450000"
 TRUTH = "o.o_totalprice > 475000"
@@ -95,8 +96,10 @@ ORACLE_SQL = COMMON | {k: v[1] for k, v in DIFFERENT.items()}
 
 
 def query(key: str) -> Callable[[SparkSession, str], DataFrame]:
+    tables = tuple(t for t in TABLES if re.search(rf"\b{t}\b", SPARK_SQL[key]))
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_views(spark, sf_dir)
+        register_views(spark, sf_dir, tables)
         return spark.sql(SPARK_SQL[key])
 
     run.__name__ = key
