@@ -1,31 +1,46 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters folded into ALPHABET symbols, so its tables have a size that no corpus
-can exceed and travel to every task; counts cover all trusted text. Tasks count trigrams, the counts
-meet in shards by n-gram, and joins of the count tables of each order (n-gram with its context, and
-continuation counts of the order below) give discounted probabilities. A document's perplexity is
-held against a quantile of trusted documents in its own language.
+The model is over words, and its lowest order spells them: a Kneser-Ney model of folded characters
+gives unknown words their share. Word counts cover all trusted text outside a held-out fold and grow
+with it; they are never gathered in one place. Count tables of each order meet in joins (n-gram with
+its context and with the order below). A text's log probability is then the spelling of its words
+plus a gain for every known n-gram in it, so scoring is a join by n-gram: chunks of documents send
+their n-grams to buckets of hashes, each bucket returns sums per document, and the sums meet again.
+For an n-gram of words g with context c and suffix s, the gain is log p(g) - log b(c) - log p(s), plus
+log b(g), where b is a context's weight for the order below. A perplexity per symbol is held against
+a quantile of held-out trusted documents in the document's own language.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import text_of, written
+from granary.llm.common import partitions, text_of, written
+from granary.llm.superwindows import BASE, hashes, mixed
 
-ALPHABET = 80  # symbols at most: tables have ALPHABET ** 3 entries
-CHUNK = 1 << 20  # characters that are scored at once
+ORDER = 2  # words in an n-gram
+FOLDS = 5  # one in so many trusted documents sets thresholds instead of being counted
+ALPHABET = 80  # symbols at most: the spelling has ALPHABET ** 3 entries
+CHUNK = 1 << 22  # characters that are counted or scored at once
+VALUES = 1 << 19  # values that are packed at once
 QUANTILE = 0.995
 SLACK = 1.12  # a document is rejected only that far beyond the quantile
 PRIOR = 60  # symbols of average trusted text that every document is given, so that short ones are judged mildly
 
+BEGIN = 0x5851F42D4C957F2D  # stands for a word before the text
+VALUE, HEADER, ASKED = range(3)
+SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
+ANSWERS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+
 START, OTHER, LETTER, UPPER, DIGIT, SPACE, BREAK = range(7)
 SIGNS = ".,;:!?'\"-()|/@#$%&*=+_<>[]{}\\^~`"
 FOLDED = "abcdefghijklmnopqrstuvwxyzßàáâäæçèéêëìíîïñòóôöùúûü"
@@ -48,14 +63,52 @@ def symbols() -> np.ndarray:
     return out
 
 
-def trigrams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The trigram number at every character of every text, each after two starts, and the texts' lengths."""
-    codes = np.frombuffer("￾￾".join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+def words_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of all texts in one list, each text closed by an empty word, and the words in each."""
+    flat: list[str] = []
+    counts = []
+    for t in texts:
+        own = (t.replace("\ufffe", " ") if "\ufffe" in t else t).split()
+        flat += own
+        flat.append("")
+        counts.append(len(own) + 1)
+    return flat, np.array(counts, np.int64)
+
+
+def spelled(flat: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, each word's start there and its length, and the character trigram that ends at each code.
+
+    Every word follows two starts, and the start behind it is its end.
+    """
+    codes = np.frombuffer(("\ufffe\ufffe" + "\ufffe\ufffe".join(flat) + "\ufffe").encode("utf-32-le", "surrogatepass"), np.uint32)
     s = table[np.minimum(codes, 0x250)]
     s[codes == 0xFFFE] = START
-    number = (s[:-2] * np.uint32(ALPHABET) + s[1:-1]) * np.uint32(ALPHABET) + s[2:]
-    own = s[2:] != START
-    return number[own], np.array([len(t) - t.count("￾") for t in texts], np.int64)
+    number = np.zeros(len(s), np.uint32)
+    number[2:] = (s[:-2] * np.uint32(ALPHABET) + s[1:-1]) * np.uint32(ALPHABET) + s[2:]
+    lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+    return codes, np.cumsum(lengths + 2) - lengths, lengths, number
+
+
+def spelling_costs(starts: np.ndarray, lengths: np.ndarray, number: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(cost[number], dtype=np.float64)])
+    return total[starts + lengths + 1] - total[starts]
+
+
+def padded(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes with ``order - 1`` marks before each text, and the place of each word among them."""
+    own = mixed(hashes(codes, starts, starts + lengths))
+    place = np.arange(len(own)) + np.repeat(np.arange(1, len(counts) + 1), counts) * (order - 1)
+    out = np.full(len(own) + len(counts) * (order - 1), BEGIN, np.uint64)
+    out[place] = own
+    return out, place
+
+
+def gram_hashes(words: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of n-grams, whose words are given place by place."""
+    out = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        out = mixed(out * np.uint64(BASE) + w)
+    return out
 
 
 def chunked(batches: Iterator[pa.RecordBatch], column: int, squeezed: bool) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -83,11 +136,32 @@ def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, table = np.zeros(ALPHABET**3, np.int64), symbols()
     for _, texts in chunked(batches, 0, True):
-        total += np.bincount(trigrams(texts, table)[0], minlength=len(total))
+        _, starts, _, number = spelled(words_of(texts)[0], table)
+        event = np.ones(len(number), bool)
+        event[:2] = event[starts - 1] = False
+        total += np.bincount(number[event], minlength=len(total))
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["gram", "n"])
 
 
+def count_words(order: int, cost: np.ndarray):
+    """Word n-grams of the highest order with their counts and the spelling cost of the last word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = symbols()
+        names = [*(f"w{i}" for i in range(1, order + 1)), "n", "cost"]
+        for _, texts in chunked(batches, 0, True):
+            flat, counts = words_of(texts)
+            codes, starts, lengths, number = spelled(flat, table)
+            spelling = spelling_costs(starts, lengths, number, cost)
+            words, place = padded(codes, starts, lengths, counts, order)
+            grams = [words[place - back] for back in range(order - 1, -1, -1)]
+            _, first, n = np.unique(gram_hashes(grams), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(g[first].view(np.int64)) for g in grams), pa.array(n), pa.array(spelling[first].astype(np.float32))], names=names)
+
+    return run
+
+
 def discounts(counts: DataFrame) -> list[float]:
     """The three discounts of modified Kneser-Ney, from the counts of counts 1 to 4."""
     row = counts.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]).first()
@@ -117,8 +191,8 @@ def dense(rows: DataFrame, size: int, otherwise: float) -> np.ndarray:
     return out
 
 
-def train(trusted: DataFrame) -> np.ndarray:
-    """Negative log probability of every trigram, from texts (squeezed, in the only column)."""
+def spelling(trusted: DataFrame) -> np.ndarray:
+    """Negative log probability of every character trigram, from texts (squeezed, in the only column)."""
     a = ALPHABET
     counts = trusted.mapInArrow(count_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).persist()
     two = counts.groupBy((F.col("gram") % (a * a)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
@@ -133,88 +207,277 @@ def train(trusted: DataFrame) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
-def scorer(cost: np.ndarray, average: float):
-    """Adds symbols and perplexity to rows whose first column is the text."""
+def cut_of(counts: DataFrame) -> Column:
+    d = discounts(counts)
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = symbols()
-        for batch, texts in chunked(batches, 0, False):
-            number, lengths = trigrams(texts, table)
-            total = np.concatenate([[0.0], np.cumsum(cost[number], dtype=np.float64)])
-            stop = np.cumsum(lengths)
-            mean = (total[stop] - total[stop - lengths] + PRIOR * average) / (lengths + PRIOR)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lengths), pa.array(np.exp(mean))], names=[*batch.schema.names[1:], "n_symbols", "perplexity"])
 
-    return run
+def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame, float]:
+    """What each known n-gram adds to a text's log probability (see the module), and the log weight of the spelling.
 
+    Returns packed rows (bucket, body). Count tables of adjacent orders meet in joins by the shared words.
+    """
+    w = [f"w{i}" for i in range(1, order + 1)]
+    kinds = "".join(f"{x} long, " for x in w) + "n long, cost float"
+    levels = {order: written(trusted.mapInArrow(count_words(order, cost), kinds).groupBy(w).agg(F.sum("n").alias("n"), F.max("cost").alias("cost")))}
+    for k in range(order - 1, 0, -1):
+        below = levels[k + 1].groupBy(w[1 : k + 1]).agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("cost"))
+        levels[k] = written(below.withColumnsRenamed({w[i]: w[i - 1] for i in range(1, k + 1)}))
+    cut = cut_of(levels[1])
+    total = levels[1].agg(F.sum("n").alias("n"), F.sum(cut).alias("cut")).first()
+    rest = math.log(total.cut / total.n)
+    p = F.log((F.col("n") - cut) / total.n + F.exp(rest - F.col("cost")))
+    lower = levels[1].select("w1", p.alias("lp"), (p - rest + F.col("cost")).alias("gain"))
+    bodies = []
+    for k in range(2, order + 1):
+        cut = cut_of(levels[k])
+        context, suffix = w[: k - 1], w[1:k]
+        shares = levels[k].groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")).select(*context, "total", F.log(F.col("cut") / F.col("total")).alias("rest"))
+        shares = written(shares)
+        bodies += [packed(lower.select(*context, "gain"), k - 1), packed(shares.select(*context, "rest"), k - 1)]
+        known = lower.select(*[F.col(w[i]).alias(w[i + 1]) for i in range(k - 1)], F.col("lp").alias("below"))
+        both = levels[k].join(shares.hint("merge"), context).join(known.hint("merge"), suffix)
+        p = F.log((F.col("n") - cut) / F.col("total") + F.exp(F.col("rest") + F.col("below")))
+        lower = both.select(*w[:k], p.alias("lp"), (p - F.col("rest") - F.col("below")).alias("gain"))
+        lower = written(lower) if k < order else lower
+    bodies.append(packed(lower.select(*w, "gain"), order))
+    out = bodies[0]
+    for body in bodies[1:]:
+        out = out.unionAll(body)
+    return written(out), rest
+
+
+def shrink(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that equal high bytes compress."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def grow(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def bundle(*parts: bytes) -> bytes:
+    return struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def unbundle(raw: bytes) -> list[bytes]:
+    n = struct.unpack_from("<I", raw)[0]
+    stops = np.cumsum(struct.unpack_from(f"<{n}I", raw, 4)) + 4 * (n + 1)
+    return [raw[a:b] for a, b in zip([4 * (n + 1), *stops], stops, strict=False)]
+
+
+def bucket_bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's hashes begin; buckets are ranges of hashes."""
+    bucket = ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def packed(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (k words, value) as packed bodies by bucket."""
+    buckets = partitions(rows.sparkSession)
 
-class QualityModel:
-    """A trained model with its thresholds. ``thresholds``: by language; the key None is for all others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= VALUES:
+                yield send(held)
+                held, size = [], 0
+        if size:
+            yield send(held)
+
+    def send(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        grams = gram_hashes([whole.column(i).to_numpy().view(np.uint64) for i in range(k)])
+        by = np.argsort(grams)
+        grams, values = grams[by], whole.column(k).to_numpy()[by].astype(np.float32)
+        cuts = bucket_bounds(grams, buckets)
+        some = np.flatnonzero(np.diff(cuts))
+        bodies = [bundle(shrink(np.diff(grams[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))), shrink(values[cuts[b] : cuts[b + 1]])) for b in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+
+    return rows.mapInArrow(run, "bucket int, body binary")
+
+
+def ask(cost: np.ndarray, rest: float, order: int, buckets: int):
+    """Texts to packed n-grams for every bucket, and to a header with the rows' other columns and spelling costs."""
 
-    def __init__(self, cost: np.ndarray, average: float, thresholds: dict[str | None, float]) -> None:
-        self.cost, self.average, self.thresholds = cost, average, thresholds
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = symbols()
+        part = TaskContext.get().partitionId()
+        for at, (batch, texts) in enumerate(chunked(batches, 0, False)):
+            chunk = part << 32 | at
+            flat, counts = words_of(texts)
+            codes, starts, lengths, number = spelled(flat, table)
+            stop = np.cumsum(counts)
+            total = np.concatenate([[0.0], np.cumsum(spelling_costs(starts, lengths, number, cost))])
+            base = total[stop] - total[stop - counts] - rest * counts
+            size = np.concatenate([[0], np.cumsum(lengths + 1)])
+            words, place = padded(codes, starts, lengths, counts, order)
+            doc = np.repeat(np.arange(len(counts)), counts)
+            first = place[stop - counts] - 1
+            grams, owners = [], []
+            for k in range(1, order + 1):
+                ends = place if k == order else np.concatenate([place, first])
+                grams.append(gram_hashes([words[ends - back] for back in range(k - 1, -1, -1)]))
+                owners.append(doc if k == order else np.concatenate([doc, np.arange(len(counts))]))
+            gram, owner = np.concatenate(grams), np.concatenate(owners)
+            by = np.lexsort((owner, gram))
+            gram, owner = gram[by], owner[by]
+            new = np.ones(len(gram), bool)
+            new[1:] = gram[1:] != gram[:-1]
+            pair = new.copy()
+            pair[1:] |= owner[1:] != owner[:-1]
+            heads = np.flatnonzero(pair)
+            times = np.diff(np.append(heads, len(gram)))
+            gram, owner, new = gram[heads], owner[heads], new[heads]
+            cuts = bucket_bounds(gram, buckets)
+            out = [(chunk % buckets, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size[stop] - size[stop - counts])))]
+            narrow = np.uint8 if len(counts) <= 256 else np.uint16 if len(counts) <= 65536 else np.uint32
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                lo, hi = cuts[b], cuts[b + 1]
+                own = np.flatnonzero(new[lo:hi])
+                each = np.diff(np.append(own, hi - lo))
+                out.append((b, ASKED, chunk, bundle(shrink(np.diff(gram[lo:hi][own], prepend=np.uint64(0))), shrink(each.astype(np.uint32)), shrink(owner[lo:hi].astype(narrow)), shrink(times[lo:hi].astype(np.uint32)), bytes([np.dtype(narrow).itemsize]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
 
-    def score(self, docs: DataFrame, keep: list[Column], text_col: str) -> DataFrame:
-        rows = docs.select(text_of(text_col).cast("binary").alias("__text"), *keep)
-        kinds = rows.drop("__text").schema
-        schema = kinds.add("n_symbols", "long").add("perplexity", "double")
-        return rows.mapInArrow(scorer(self.cost, self.average), schema)
+    return run
 
-    def threshold(self, lang: Column) -> Column:
-        out = F.lit(self.thresholds[None])
-        for name, value in self.thresholds.items():
-            if name is not None:
-                out = F.when(lang == name, value).otherwise(out)
-        return out
 
+def stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> QualityModel | None:
-    """Counts all text that ``labels`` marks with quality 1 and sets a threshold per language; None without any.
 
-    Labels grow with the corpus, so their join is a sort-merge join at every size.
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In each bucket, its values come first; then every chunk's n-grams give sums per document."""
+    now, grams, values, held = None, np.zeros(0, np.uint64), np.zeros(0), []
+    for batch in batches:
+        out = []
+        for bucket, kind, chunk, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now:
+                now, held, grams, values = bucket, [], np.zeros(0, np.uint64), np.zeros(0)
+            if kind == VALUE:
+                held.append(body)
+                continue
+            if held:
+                pairs = [unbundle(x) for x in held]
+                every = np.concatenate([np.cumsum(grow(g, np.uint64), dtype=np.uint64) for g, _ in pairs])
+                grams, at = np.unique(every, return_inverse=True)
+                values = np.bincount(at, np.concatenate([grow(v, np.float32) for _, v in pairs]), len(grams))
+                held = []
+            if kind == HEADER:
+                out.append((chunk, 0, body))
+                continue
+            asked, each, owner, times, size = unbundle(body)
+            asked = np.cumsum(grow(asked, np.uint64), dtype=np.uint64)
+            if not len(grams):
+                continue
+            at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+            gain = np.where(grams[at] == asked, values[at], 0.0)
+            owner = grow(owner, {1: np.uint8, 2: np.uint16, 4: np.uint32}[size[0]])
+            total = np.bincount(owner, np.repeat(gain, grow(each, np.uint32)) * grow(times, np.uint32))
+            some = np.flatnonzero(total)
+            if len(some):
+                out.append((chunk, 1, bundle(shrink(some.astype(np.uint32)), shrink(total[some].astype(np.float32)))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ANSWERS.types, strict=True)], schema=ANSWERS)
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk and kind: a header, then sums. Returns the header's rows with symbols and cost."""
+    now, head, base, size = None, None, np.zeros(0), np.zeros(0)
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*head.columns, pa.array(size.astype(np.int64)), pa.array(base)], names=[*head.schema.names, "n_symbols", "cost"])
+
+    for batch in batches:
+        for chunk, kind, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == 0:
+                if now is not None:
+                    yield done()
+                rows, base, size = unbundle(body)
+                head = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_next_batch()
+                now, base, size = chunk, grow(base, np.float64).copy(), grow(size, np.int64)
+            else:
+                which, total = unbundle(body)
+                np.subtract.at(base, grow(which, np.uint32), grow(total, np.float32))
+    if now is not None:
+        yield done()
+
+
+def costs(docs: DataFrame, trusted: DataFrame, keep: list[Column], text_col: str, order: int) -> DataFrame:
+    """``keep`` with each text's symbols and its negative log probability under the model of ``trusted``."""
+    buckets = partitions(docs.sparkSession)
+    cost = spelling(trusted)
+    values, rest = gains(trusted, cost, order)
+    rows = docs.select(text_of(text_col).cast("binary").alias("__text"), *keep)
+    schema = rows.drop("__text").schema.add("n_symbols", "long").add("cost", "double")
+    asked = rows.mapInArrow(ask(cost, rest, order, buckets), "bucket int, kind int, chunk long, body binary")
+    known = values.select("bucket", F.lit(VALUE).alias("kind"), F.lit(0).cast("long").alias("chunk"), "body")
+    met = known.unionAll(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    sums = met.mapInArrow(answer, "chunk long, kind int, body binary")
+    return written(sums.repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tally, schema))
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, extra: list[Column], quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER) -> DataFrame | None:
+    """id, lang, ``extra``, n_symbols, perplexity, threshold and keep of every row; None without trusted text.
+
+    One in FOLDS trusted documents stays out of the counts and sets the thresholds, since the model
+    knows its own texts too well. Labels grow with the corpus, so their joins are sort-merge joins.
     """
-    trusted_ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    trusted_ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
+    aside = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")).filter("id is not null")
-    trusted = texts.mapInArrow(squeeze, "id long, text binary").join(trusted_ids.hint("merge"), "id", "left_semi").select("text")
-    cost = train(trusted)
-    model = QualityModel(cost, 0.0, {None: math.inf})
-    scored = model.score(docs, [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang")], text_col)
-    scores = written(scored.join(trusted_ids.hint("merge"), "id", "left_semi"))
-    total = (F.col("n_symbols") + PRIOR) * F.log("perplexity")
-    first = scores.agg(F.sum(total).alias("cost"), F.sum("n_symbols").alias("n")).first()
-    if not first.n:
-        return None
+    trusted = written(texts.mapInArrow(squeeze, "id long, text binary").join(trusted_ids.hint("merge"), "id", "left_semi").select("text", aside.alias("aside")))
+    model = trusted.filter("not aside")
+    if model.isEmpty():
+        model = trusted
+        if model.isEmpty():
+            return None
+    keep = [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("lang"), *extra]
+    rows = costs(docs, model.select("text"), keep, text_col, order)
+    held = rows.select(F.col("__id").cast("long").alias("id"), "lang", "n_symbols", "cost").join(trusted_ids.hint("merge"), "id", "left_semi")
+    own = held.filter(aside)
+    held = written(held if own.isEmpty() else own)
+    first = held.agg(F.sum("cost").alias("cost"), F.sum("n_symbols").alias("n")).first()
     average = first.cost / first.n
-    shrunk = F.exp((total + PRIOR * average) / (F.col("n_symbols") + PRIOR))
-    cut = F.percentile_approx(shrunk, F.lit(quantile), F.lit(10_000)).alias("cut")
-    by_lang = scores.filter("lang is not null").groupBy("lang").agg(cut).collect()
-    thresholds: dict[str | None, float] = {None: scores.agg(cut).first().cut * slack}
-    return QualityModel(cost, average, thresholds | {r.lang: r.cut * slack for r in by_lang})
+    perplexity = F.exp((F.col("cost") + PRIOR * average) / (F.col("n_symbols") + PRIOR))
+    cut = F.percentile_approx(perplexity, F.lit(quantile), F.lit(10_000)).alias("cut")
+    limit = F.lit(held.agg(cut).first().cut * slack)
+    for r in held.filter("lang is not null").groupBy("lang").agg(cut).collect():
+        limit = F.when(F.col("lang") == r.lang, r.cut * slack).otherwise(limit)
+    return rows.withColumn("perplexity", perplexity).withColumn("threshold", limit).withColumn("keep", F.col("perplexity") <= F.col("threshold"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: id, lang, n_symbols, perplexity, threshold and keep.
 
-    Null and empty texts get the average perplexity and stay. Rows of a null or unseen language meet
-    the threshold of all trusted text. Without trusted text everything stays. Repeated rows get
-    repeated results; an empty table gives no rows; other columns are ignored.
+    Null and empty texts hold only the end of a text, get nearly the average perplexity and stay.
+    Rows of a null or unseen language meet the threshold of all trusted text. Without trusted text
+    everything stays. Repeated rows get repeated results; an empty table gives no rows; other columns
+    are ignored. A word's symbols are its characters and its end.
     """
-    keep = [F.col(f"`{id_col}`").alias(id_col), F.col(f"`{lang_col}`").alias("lang")]
-    model = fit(docs, labels, id_col, text_col, lang_col)
-    if model is None:
+    rows = judged(docs, labels, id_col, text_col, lang_col, [])
+    if rows is None:
+        keep = [F.col(f"`{id_col}`").alias(id_col), F.col(f"`{lang_col}`").alias("lang")]
         return docs.select(*keep, F.length(text_of(text_col)).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-    scored = model.score(docs, keep, text_col).withColumn("threshold", model.threshold(F.col("lang")))
-    return scored.withColumn("keep", F.col("perplexity") <= F.col("threshold"))
+    return rows.select(F.col("__id").alias(id_col), "lang", "n_symbols", "perplexity", "threshold", "keep")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that stay, with all their columns."""
-    model = fit(docs, labels, id_col, text_col, lang_col)
-    if model is None:
+    tag = F.xxhash64(F.col(f"`{id_col}`"), text_of(text_col), F.col(f"`{lang_col}`"))
+    rows = judged(docs, labels, id_col, text_col, lang_col, [tag.alias("__tag")])
+    if rows is None:
         return docs
-    packed = model.score(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")], text_col)
-    kept = packed.filter(F.col("perplexity") <= model.threshold(F.col(f"row.`{lang_col}`")))
-    return kept.select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    stay = rows.filter("keep").select("__tag").distinct()
+    return docs.withColumn("__tag", tag).join(stay, "__tag", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

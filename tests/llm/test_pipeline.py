@@ -8,6 +8,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_operators import links_of
 from tokenizers import Tokenizer
 
@@ -19,46 +20,77 @@ from granary.llm.packing import cut
 SF = "/root/testdata/sf0.001"
 
 
-def costs(texts):
-    """Interpolated modified Kneser-Ney trigrams, from dictionaries."""
-    table = kn.symbols()
-    marks = [[0, 0, *(int(table[min(ord(c), 0x250)]) for c in t)] for t in texts]
-    three = collections.Counter(tuple(m[i : i + 3]) for m in marks for i in range(len(m) - 2))
-    two = collections.Counter(g[1:] for g in three)
-    one = collections.Counter(g[1:] for g in two)
+def kneser_ney(events, order, base):
+    """Interpolated modified Kneser-Ney from a list of n-grams, as dictionaries; ``base`` is the order 0."""
+    counts = {order: collections.Counter(events)}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
 
-    def level(counts, lower):
-        n = [sum(c == i for c in counts.values()) for i in range(1, 5)]
+    def level(k):
+        if k == 0:
+            return lambda g: base(g)
+        n = [sum(c == i for c in counts[k].values()) for i in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else None
         raw = [0.5, 0.75, 0.9] if y is None else [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
         d = raw if y is None else [min(max(v, 0.1), i + 0.9) for i, v in enumerate(raw)]
         total, cut_ = collections.Counter(), collections.Counter()
-        for g, c in counts.items():
+        for g, c in counts[k].items():
             total[g[:-1]] += c
             cut_[g[:-1]] += d[min(c, 3) - 1]
+        lower = level(k - 1)
 
         def p(g):
-            rest = lower(g[1:])
+            rest = lower(g[1:] if k > 1 else g)
             t = total.get(g[:-1])
-            return rest if not t else (max(0, counts[g] - d[min(counts[g], 3) - 1]) if counts.get(g) else 0) / t + cut_[g[:-1]] / t * rest
+            return rest if not t else (counts[k][g] - d[min(counts[k][g], 3) - 1] if g in counts[k] else 0) / t + cut_[g[:-1]] / t * rest
 
         return p
 
-    p = level(three, level(two, level(one, lambda g: 1 / kn.ALPHABET)))
-    return lambda t: [-math.log(p((a, b, c))) for m in [[0, 0, *(int(table[min(ord(ch), 0x250)]) for ch in t)]] for a, b, c in zip(m, m[1:], m[2:], strict=False)]
+    return level(order)
+
+
+def windows(marks, order):
+    marks = [None] * (order - 1) + marks
+    return [tuple(marks[i : i + order]) for i in range(len(marks) - order + 1)]
+
+
+def costs(texts, order=kn.ORDER):
+    """The word model with its spelling, one text at a time: a function from a text to symbols and cost."""
+    table = kn.symbols()
 
+    def letters(word):
+        return windows([int(table[min(ord(c), 0x250)]) for c in word] + ["end"], 3)
 
-def rejected(docs, trusted):
-    cost = costs([t for i, t in zip(docs.doc_id, docs.text, strict=True) if i in trusted])
+    def words(text):
+        return windows([*text.split(), ""], order)
+
+    spelled = kneser_ney([g for t in texts for w in words(t) for g in letters(w[-1])], 3, lambda g: 1 / kn.ALPHABET)
+    p = kneser_ney([g for t in texts for g in words(t)], order, lambda g: math.prod(spelled(x) for x in letters(g[0])))
+    return lambda t: (sum(len(w[-1]) + 1 for w in words(t)), -sum(math.log(p(g)) for g in words(t)))
+
+
+def rejected(docs, trusted, aside):
+    cost = costs([t for i, t in zip(docs.doc_id, docs.text, strict=True) if i in trusted - aside])
     own = {i: cost(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
-    average = sum(sum(own[i]) for i in trusted) / sum(len(own[i]) for i in trusted)
-    perplexity = {i: math.exp((sum(c) + kn.PRIOR * average) / (len(c) + kn.PRIOR)) for i, c in own.items()}
+    average = sum(own[i][1] for i in aside) / sum(own[i][0] for i in aside)
+    perplexity = {i: math.exp((c + kn.PRIOR * average) / (n + kn.PRIOR)) for i, (n, c) in own.items()}
     out = set()
     for lang, part in docs.groupby("lang"):
-        found = sorted(perplexity[i] for i in part.doc_id if i in trusted) or sorted(perplexity[i] for i in trusted)
+        found = sorted(perplexity[i] for i in part.doc_id if i in aside) or sorted(perplexity[i] for i in aside)
         limit = found[max(0, math.ceil(kn.QUANTILE * len(found)) - 1)] * kn.SLACK
         out |= {i for i in part.doc_id if perplexity[i] > limit}
-    return out
+    return out, perplexity
+
+
+def test_order_three(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet").head(60)
+    cost = costs(list(docs.text[:30]), 3)
+    rows = spark.createDataFrame(docs[["doc_id", "text"]])
+    trusted = rows.filter(F.col("doc_id").isin(docs.doc_id[:30].tolist())).select(F.col("text").cast("binary").alias("text"))
+    squeezed = trusted.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(kn.squeeze, "id long, text binary").select("text")
+    got = kn.costs(rows, squeezed, [F.col("doc_id")], "text", 3).collect()
+    want = {i: cost(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    assert len(got) == 60 and all(r.n_symbols == want[r.doc_id][0] and abs(r.cost / want[r.doc_id][1] - 1) < 1e-4 for r in got)
 
 
 def copies(i, mean):
@@ -75,7 +107,13 @@ def copies(i, mean):
 def test_run(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     labels = pd.read_parquet(f"{SF}/labels.parquet")
-    gone = rejected(docs, set(labels[labels.quality == 1].doc_id) & set(docs.doc_id))
+    trusted = set(labels[labels.quality == 1].doc_id) & set(docs.doc_id)
+    fold = spark.range(docs.doc_id.max() + 1).select("id", F.pmod(F.xxhash64("id"), F.lit(kn.FOLDS)).alias("fold"))
+    aside = {r.id for r in fold.filter("fold = 0").collect()} & trusted
+    gone, perplexity = rejected(docs, trusted, aside)
+    scored = kn.quality_scores(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert {r.doc_id for r in scored if not r.keep} == gone
+    assert max(abs(r.perplexity / perplexity[r.doc_id] - 1) for r in scored) < 1e-4
     rows = docs[~docs.doc_id.isin(gone)]
     last = {}
     for i, t in zip(rows.doc_id, rows.text, strict=True):
