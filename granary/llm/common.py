@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the cluster names none (tests), a local one is made."""
@@ -23,13 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes a frame as a table in the shared folder and reads it back, which cuts its lineage."""
+    """Writes a frame as a table in the shared folder and reads it back, which cuts its lineage.
+
+    The shuffles of the write are deleted when it ends, since nothing reads them after that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` returned and that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, which follow the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -24,14 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import partitions, text_of, written
+from granary.llm.common import discard, partitions, text_of, written
 from granary.llm.superwindows import BASE, hashes, mixed
 
-ORDER = 2  # words in an n-gram
+ORDER = 2  # words in an n-gram, at least 2
 FOLDS = 5  # one in so many trusted documents sets thresholds instead of being counted
 ALPHABET = 80  # symbols at most: the spelling has ALPHABET ** 3 entries
 CHUNK = 1 << 22  # characters that are counted or scored at once
 VALUES = 1 << 19  # values that are packed at once
+FINGERPRINT = 40  # bits that tell n-grams of a bucket apart: of a million there, one in a million unknown n-grams is mistaken
 QUANTILE = 0.995
 SLACK = 1.12  # a document is rejected only that far beyond the quantile
 PRIOR = 60  # symbols of average trusted text that every document is given, so that short ones are judged mildly
@@ -144,20 +145,33 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["gram", "n"])
 
 
-def count_words(order: int, cost: np.ndarray):
-    """Word n-grams of the highest order with their counts and the spelling cost of the last word."""
+def count_words(order: int):
+    """Word n-grams of the highest order with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbols()
-        names = [*(f"w{i}" for i in range(1, order + 1)), "n", "cost"]
+        names = [*(f"w{i}" for i in range(1, order + 1)), "n"]
         for _, texts in chunked(batches, 0, True):
             flat, counts = words_of(texts)
-            codes, starts, lengths, number = spelled(flat, table)
-            spelling = spelling_costs(starts, lengths, number, cost)
+            codes, starts, lengths, _ = spelled(flat, table)
             words, place = padded(codes, starts, lengths, counts, order)
             grams = [words[place - back] for back in range(order - 1, -1, -1)]
             _, first, n = np.unique(gram_hashes(grams), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(g[first].view(np.int64)) for g in grams), pa.array(n), pa.array(spelling[first].astype(np.float32))], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(g[first].view(np.int64)) for g in grams), pa.array(n)], names=names)
+
+    return run
+
+
+def spell_words(cost: np.ndarray):
+    """Distinct words with their spelling costs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = symbols()
+        for _, texts in chunked(batches, 0, True):
+            flat = list(set(words_of(texts)[0]))
+            codes, starts, lengths, number = spelled(flat, table)
+            words = mixed(hashes(codes, starts, starts + lengths))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(spelling_costs(starts, lengths, number, cost).astype(np.float32))], names=["w1", "cost"])
 
     return run
 
@@ -218,11 +232,16 @@ def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame,
     Returns packed rows (bucket, body). Count tables of adjacent orders meet in joins by the shared words.
     """
     w = [f"w{i}" for i in range(1, order + 1)]
-    kinds = "".join(f"{x} long, " for x in w) + "n long, cost float"
-    levels = {order: written(trusted.mapInArrow(count_words(order, cost), kinds).groupBy(w).agg(F.sum("n").alias("n"), F.max("cost").alias("cost")))}
+    kinds = "".join(f"{x} long, " for x in w) + "n long"
+    top = trusted.mapInArrow(count_words(order), kinds).groupBy(w).agg(F.sum("n").alias("n"))
+    levels = {order: written(top.sortWithinPartitions("w1"))}
     for k in range(order - 1, 0, -1):
-        below = levels[k + 1].groupBy(w[1 : k + 1]).agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("cost"))
-        levels[k] = written(below.withColumnsRenamed({w[i]: w[i - 1] for i in range(1, k + 1)}))
+        below = levels[k + 1].groupBy(w[1 : k + 1]).agg(F.count(F.lit(1)).alias("n"))
+        below = below.withColumnsRenamed({w[i]: w[i - 1] for i in range(1, k + 1)})
+        if k == 1:
+            costs_of = trusted.mapInArrow(spell_words(cost), "w1 long, cost float").groupBy("w1").agg(F.max("cost").alias("cost"))
+            below = below.join(costs_of.hint("merge"), "w1")
+        levels[k] = written(below)
     cut = cut_of(levels[1])
     total = levels[1].agg(F.sum("n").alias("n"), F.sum(cut).alias("cut")).first()
     rest = math.log(total.cut / total.n)
@@ -236,15 +255,22 @@ def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame,
         shares = written(shares)
         bodies += [packed(lower.select(*context, "gain"), k - 1), packed(shares.select(*context, "rest"), k - 1)]
         known = lower.select(*[F.col(w[i]).alias(w[i + 1]) for i in range(k - 1)], F.col("lp").alias("below"))
-        both = levels[k].join(shares.hint("merge"), context).join(known.hint("merge"), suffix)
-        p = F.log((F.col("n") - cut) / F.col("total") + F.exp(F.col("rest") + F.col("below")))
+        own = ((F.col("n") - cut) / F.col("total")).cast("float").alias("own")
+        half = written(levels[k].join(shares.hint("merge"), context).select(*w[:k], own, F.col("rest").cast("float").alias("rest")).sortWithinPartitions("w1"))
+        if k == order:
+            discard(levels[k])
+        both = half.join(known.hint("merge"), suffix)
+        p = F.log(F.col("own") + F.exp(F.col("rest") + F.col("below")))
         lower = both.select(*w[:k], p.alias("lp"), (p - F.col("rest") - F.col("below")).alias("gain"))
         lower = written(lower) if k < order else lower
     bodies.append(packed(lower.select(*w, "gain"), order))
     out = bodies[0]
     for body in bodies[1:]:
         out = out.unionAll(body)
-    return written(out), rest
+    out = written(out)
+    if order > 1:
+        discard(half)
+    return out, rest
 
 
 def shrink(values: np.ndarray) -> bytes:
@@ -268,9 +294,14 @@ def unbundle(raw: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * (n + 1), *stops], stops, strict=False)]
 
 
-def bucket_bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's hashes begin; buckets are ranges of hashes."""
-    bucket = ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def dropped_bits(buckets: int) -> np.uint64:
+    """Low bits of a hash that packed bodies leave out: FINGERPRINT bits tell the n-grams of a bucket apart."""
+    return np.uint64(max(0, 64 - FINGERPRINT - math.ceil(math.log2(buckets))))
+
+
+def bucket_bounds(kept: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted hashes without their dropped bits; buckets are ranges of hashes."""
+    bucket = (((kept << dropped_bits(buckets)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
@@ -291,7 +322,7 @@ def packed(rows: DataFrame, k: int) -> DataFrame:
 
     def send(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held)
-        grams = gram_hashes([whole.column(i).to_numpy().view(np.uint64) for i in range(k)])
+        grams = gram_hashes([whole.column(i).to_numpy().view(np.uint64) for i in range(k)]) >> dropped_bits(buckets)
         by = np.argsort(grams)
         grams, values = grams[by], whole.column(k).to_numpy()[by].astype(np.float32)
         cuts = bucket_bounds(grams, buckets)
@@ -324,7 +355,7 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int):
                 ends = place if k == order else np.concatenate([place, first])
                 grams.append(gram_hashes([words[ends - back] for back in range(k - 1, -1, -1)]))
                 owners.append(doc if k == order else np.concatenate([doc, np.arange(len(counts))]))
-            gram, owner = np.concatenate(grams), np.concatenate(owners)
+            gram, owner = np.concatenate(grams) >> dropped_bits(buckets), np.concatenate(owners)
             by = np.lexsort((owner, gram))
             gram, owner = gram[by], owner[by]
             new = np.ones(len(gram), bool)
@@ -442,6 +473,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
             return None
     keep = [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("lang"), *extra]
     rows = costs(docs, model.select("text"), keep, text_col, order)
+    discard(trusted)
     held = rows.select(F.col("__id").cast("long").alias("id"), "lang", "n_symbols", "cost").join(trusted_ids.hint("merge"), "id", "left_semi")
     own = held.filter(aside)
     held = written(held if own.isEmpty() else own)
