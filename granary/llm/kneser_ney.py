@@ -30,7 +30,7 @@ from granary.llm.superwindows import BASE, hashes, mixed
 ORDER = 2  # words in an n-gram, at least 2
 FOLDS = 5  # one in so many trusted documents sets thresholds instead of being counted
 ALPHABET = 80  # symbols at most: the spelling has ALPHABET ** 3 entries
-CHUNK = 1 << 22  # characters that are counted or scored at once
+CHUNK = 1 << 21  # characters that are counted or scored at once
 VALUES = 1 << 19  # values that are packed at once
 FINGERPRINT = 40  # bits that tell n-grams of a bucket apart: of a million there, one in a million unknown n-grams is mistaken
 QUANTILE = 0.995
