@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from granary.llm.superwindows import BASE, hashes, mixed
 
 ORDER = 2  # words in an n-gram, at least 2
 FOLDS = 5  # one in so many trusted documents sets thresholds instead of being counted
+PASSES = 2  # n-grams are counted and looked up in so many parts one after the other, which divides the disk that shuffles hold
 ALPHABET = 80  # symbols at most: the spelling has ALPHABET ** 3 entries
 CHUNK = 1 << 21  # characters that are counted or scored at once
 VALUES = 1 << 19  # values that are packed at once
@@ -145,8 +147,8 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["gram", "n"])
 
 
-def count_words(order: int):
-    """Word n-grams of the highest order with their counts."""
+def count_words(order: int, part: int):
+    """Word n-grams of the highest order with their counts, of one of PASSES parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbols()
@@ -156,7 +158,9 @@ def count_words(order: int):
             codes, starts, lengths, _ = spelled(flat, table)
             words, place = padded(codes, starts, lengths, counts, order)
             grams = [words[place - back] for back in range(order - 1, -1, -1)]
-            _, first, n = np.unique(gram_hashes(grams), return_index=True, return_counts=True)
+            found, first, n = np.unique(gram_hashes(grams), return_index=True, return_counts=True)
+            own = found % np.uint64(PASSES) == part
+            first, n = first[own], n[own]
             yield pa.RecordBatch.from_arrays([*(pa.array(g[first].view(np.int64)) for g in grams), pa.array(n)], names=names)
 
     return run
@@ -233,8 +237,11 @@ def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame,
     """
     w = [f"w{i}" for i in range(1, order + 1)]
     kinds = "".join(f"{x} long, " for x in w) + "n long"
-    top = trusted.mapInArrow(count_words(order), kinds).groupBy(w).agg(F.sum("n").alias("n"))
-    levels = {order: written(top.sortWithinPartitions("w1"))}
+    parts = []
+    for i in range(PASSES):
+        part = trusted.mapInArrow(count_words(order, i), kinds).groupBy(w).agg(F.sum("n").alias("n"))
+        parts.append(written(part.sortWithinPartitions("w1")))
+    levels = {order: reduce(DataFrame.unionAll, parts)}
     for k in range(order - 1, 0, -1):
         below = levels[k + 1].groupBy(w[1 : k + 1]).agg(F.count(F.lit(1)).alias("n"))
         below = below.withColumnsRenamed({w[i]: w[i - 1] for i in range(1, k + 1)})
@@ -256,21 +263,19 @@ def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame,
         bodies += [packed(lower.select(*context, "gain"), k - 1), packed(shares.select(*context, "rest"), k - 1)]
         known = lower.select(*[F.col(w[i]).alias(w[i + 1]) for i in range(k - 1)], F.col("lp").alias("below"))
         own = ((F.col("n") - cut) / F.col("total")).cast("float").alias("own")
-        half = written(levels[k].join(shares.hint("merge"), context).select(*w[:k], own, F.col("rest").cast("float").alias("rest")).sortWithinPartitions("w1"))
+        done = []
+        for part in parts if k == order else [levels[k]]:
+            half = written(part.join(shares.hint("merge"), context).select(*w[:k], own, F.col("rest").cast("float").alias("rest")).sortWithinPartitions("w1"))
+            discard(part)
+            p = F.log(F.col("own") + F.exp(F.col("rest") + F.col("below")))
+            both = half.join(known.hint("merge"), suffix).select(*w[:k], p.alias("lp"), (p - F.col("rest") - F.col("below")).alias("gain"))
+            done.append(written(packed(both.select(*w, "gain"), order) if k == order else both))
+            discard(half)
         if k == order:
-            discard(levels[k])
-        both = half.join(known.hint("merge"), suffix)
-        p = F.log(F.col("own") + F.exp(F.col("rest") + F.col("below")))
-        lower = both.select(*w[:k], p.alias("lp"), (p - F.col("rest") - F.col("below")).alias("gain"))
-        lower = written(lower) if k < order else lower
-    bodies.append(packed(lower.select(*w, "gain"), order))
-    out = bodies[0]
-    for body in bodies[1:]:
-        out = out.unionAll(body)
-    out = written(out)
-    if order > 1:
-        discard(half)
-    return out, rest
+            bodies += done
+        else:
+            lower = done[0]
+    return written(reduce(DataFrame.unionAll, bodies)), rest
 
 
 def shrink(values: np.ndarray) -> bytes:
@@ -333,8 +338,11 @@ def packed(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, body binary")
 
 
-def ask(cost: np.ndarray, rest: float, order: int, buckets: int):
-    """Texts to packed n-grams for every bucket, and to a header with the rows' other columns and spelling costs."""
+def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high: int):
+    """Texts to packed n-grams for buckets from ``low`` to before ``high``.
+
+    If ``low`` is 0, also to a header with the rows' other columns and spelling costs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbols()
@@ -366,14 +374,17 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int):
             times = np.diff(np.append(heads, len(gram)))
             gram, owner, new = gram[heads], owner[heads], new[heads]
             cuts = bucket_bounds(gram, buckets)
-            out = [(chunk % buckets, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size[stop] - size[stop - counts])))]
+            out = [(chunk % high, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size[stop] - size[stop - counts])))]
             narrow = np.uint8 if len(counts) <= 256 else np.uint16 if len(counts) <= 65536 else np.uint32
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
+            if low:
+                out = []
+            for b in (low + np.flatnonzero(np.diff(cuts[low : high + 1]))).tolist():
                 lo, hi = cuts[b], cuts[b + 1]
                 own = np.flatnonzero(new[lo:hi])
                 each = np.diff(np.append(own, hi - lo))
                 out.append((b, ASKED, chunk, bundle(shrink(np.diff(gram[lo:hi][own], prepend=np.uint64(0))), shrink(each.astype(np.uint32)), shrink(owner[lo:hi].astype(narrow)), shrink(times[lo:hi].astype(np.uint32)), bytes([np.dtype(narrow).itemsize]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
 
     return run
 
@@ -442,18 +453,31 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def costs(docs: DataFrame, trusted: DataFrame, keep: list[Column], text_col: str, order: int) -> DataFrame:
-    """``keep`` with each text's symbols and its negative log probability under the model of ``trusted``."""
-    buckets = partitions(docs.sparkSession)
+def train(trusted: DataFrame, order: int) -> tuple[np.ndarray, DataFrame, float]:
+    """The model of texts (squeezed, in the only column): spelling, packed gains, weight of the spelling."""
     cost = spelling(trusted)
-    values, rest = gains(trusted, cost, order)
+    return cost, *gains(trusted, cost, order)
+
+
+def costs(docs: DataFrame, model: tuple[np.ndarray, DataFrame, float], keep: list[Column], text_col: str, order: int) -> DataFrame:
+    """``keep`` with each text's symbols and its negative log probability.
+
+    ``docs`` is scanned once for each pass and must return its rows in the same order, as files do.
+    """
+    cost, values, rest = model
+    buckets = partitions(docs.sparkSession)
     rows = docs.select(text_of(text_col).cast("binary").alias("__text"), *keep)
     schema = rows.drop("__text").schema.add("n_symbols", "long").add("cost", "double")
-    asked = rows.mapInArrow(ask(cost, rest, order, buckets), "bucket int, kind int, chunk long, body binary")
     known = values.select("bucket", F.lit(VALUE).alias("kind"), F.lit(0).cast("long").alias("chunk"), "body")
-    met = known.unionAll(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    sums = met.mapInArrow(answer, "chunk long, kind int, body binary")
-    return written(sums.repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tally, schema))
+    sums = []
+    for i in range(PASSES):
+        low, high = buckets * i // PASSES, buckets * (i + 1) // PASSES
+        if low == high:
+            continue
+        asked = rows.mapInArrow(ask(cost, rest, order, buckets, low, high), "bucket int, kind int, chunk long, body binary")
+        met = known.filter((F.col("bucket") >= low) & (F.col("bucket") < high)).unionAll(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        sums.append(written(met.mapInArrow(answer, "chunk long, kind int, body binary")))
+    return written(reduce(DataFrame.unionAll, sums).repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tally, schema))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, extra: list[Column], quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER) -> DataFrame | None:
@@ -472,8 +496,9 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
         if model.isEmpty():
             return None
     keep = [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("lang"), *extra]
-    rows = costs(docs, model.select("text"), keep, text_col, order)
+    trained = train(model.select("text"), order)
     discard(trusted)
+    rows = costs(docs, trained, keep, text_col, order)
     held = rows.select(F.col("__id").cast("long").alias("id"), "lang", "n_symbols", "cost").join(trusted_ids.hint("merge"), "id", "left_semi")
     own = held.filter(aside)
     held = written(held if own.isEmpty() else own)
