@@ -32,7 +32,8 @@ ORDER = 2  # words in an n-gram, at least 2
 FOLDS = 5  # one in so many trusted documents sets thresholds instead of being counted
 PASSES = 2  # n-grams are counted and looked up in so many parts one after the other, which divides the disk that shuffles hold
 ALPHABET = 80  # symbols at most: the spelling has ALPHABET ** 3 entries
-CHUNK = 1 << 21  # characters that are counted or scored at once
+CHUNK = 1 << 23  # characters whose n-grams are counted or looked up at once; an n-gram is sent once a chunk
+SPAN = 1 << 18  # characters that are split and spelled at once
 VALUES = 1 << 19  # values that are packed at once
 FINGERPRINT = 40  # bits that tell n-grams of a bucket apart: of a million there, one in a million unknown n-grams is mistaken
 QUANTILE = 0.995
@@ -97,9 +98,30 @@ def spelling_costs(starts: np.ndarray, lengths: np.ndarray, number: np.ndarray,
     return total[starts + lengths + 1] - total[starts]
 
 
-def padded(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def spans(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about SPAN characters, whose arrays stay small."""
+    at, size = 0, 0
+    for i, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= SPAN or i == len(texts):
+            yield texts[at:i]
+            at, size = i, 0
+
+
+def hashed(texts: list[str], table: np.ndarray, cost: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the words in each text, and each text's symbols and spelling cost (0 without ``cost``)."""
+    out = []
+    for some in spans(texts):
+        flat, counts = words_of(some)
+        codes, starts, lengths, number = spelled(flat, table)
+        first = np.cumsum(counts) - counts
+        own = np.zeros(len(counts)) if cost is None else np.add.reduceat(spelling_costs(starts, lengths, number, cost), first)
+        out.append((mixed(hashes(codes, starts, starts + lengths)), counts, np.add.reduceat(lengths + 1, first), own))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def padded(own: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with ``order - 1`` marks before each text, and the place of each word among them."""
-    own = mixed(hashes(codes, starts, starts + lengths))
     place = np.arange(len(own)) + np.repeat(np.arange(1, len(counts) + 1), counts) * (order - 1)
     out = np.full(len(own) + len(counts) * (order - 1), BEGIN, np.uint64)
     out[place] = own
@@ -139,10 +161,11 @@ def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, table = np.zeros(ALPHABET**3, np.int64), symbols()
     for _, texts in chunked(batches, 0, True):
-        _, starts, _, number = spelled(words_of(texts)[0], table)
-        event = np.ones(len(number), bool)
-        event[:2] = event[starts - 1] = False
-        total += np.bincount(number[event], minlength=len(total))
+        for some in spans(texts):
+            _, starts, _, number = spelled(words_of(some)[0], table)
+            event = np.ones(len(number), bool)
+            event[:2] = event[starts - 1] = False
+            total += np.bincount(number[event], minlength=len(total))
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["gram", "n"])
 
@@ -154,13 +177,12 @@ def count_words(order: int, part: int):
         table = symbols()
         names = [*(f"w{i}" for i in range(1, order + 1)), "n"]
         for _, texts in chunked(batches, 0, True):
-            flat, counts = words_of(texts)
-            codes, starts, lengths, _ = spelled(flat, table)
-            words, place = padded(codes, starts, lengths, counts, order)
-            grams = [words[place - back] for back in range(order - 1, -1, -1)]
-            found, first, n = np.unique(gram_hashes(grams), return_index=True, return_counts=True)
-            own = found % np.uint64(PASSES) == part
-            first, n = first[own], n[own]
+            own, counts, _, _ = hashed(texts, table)
+            words, place = padded(own, counts, order)
+            gram = gram_hashes([words[place - back] for back in range(order - 1, -1, -1)])
+            mine = np.flatnonzero(gram % np.uint64(PASSES) == part)
+            _, first, n = np.unique(gram[mine], return_index=True, return_counts=True)
+            grams = [words[place[mine] - back] for back in range(order - 1, -1, -1)]
             yield pa.RecordBatch.from_arrays([*(pa.array(g[first].view(np.int64)) for g in grams), pa.array(n)], names=names)
 
     return run
@@ -172,7 +194,10 @@ def spell_words(cost: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbols()
         for _, texts in chunked(batches, 0, True):
-            flat = list(set(words_of(texts)[0]))
+            distinct: set[str] = set()
+            for some in spans(texts):
+                distinct.update(words_of(some)[0])
+            flat = list(distinct)
             codes, starts, lengths, number = spelled(flat, table)
             words = mixed(hashes(codes, starts, starts + lengths))
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(spelling_costs(starts, lengths, number, cost).astype(np.float32))], names=["w1", "cost"])
@@ -304,10 +329,19 @@ def dropped_bits(buckets: int) -> np.uint64:
     return np.uint64(max(0, 64 - FINGERPRINT - math.ceil(math.log2(buckets))))
 
 
+def bucket_of(kept: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of hashes without their dropped bits; buckets are ranges of hashes."""
+    return (((kept << dropped_bits(buckets)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def bucket_bounds(kept: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted hashes without their dropped bits; buckets are ranges of hashes."""
-    bucket = (((kept << dropped_bits(buckets)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    """Where each bucket begins in sorted hashes without their dropped bits."""
+    return np.searchsorted(bucket_of(kept, buckets), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def within(kept: np.ndarray, buckets: int, low: int, high: int) -> np.ndarray:
+    bucket = bucket_of(kept, buckets)
+    return (bucket >= np.uint64(low)) & (bucket < np.uint64(high))
 
 
 def packed(rows: DataFrame, k: int) -> DataFrame:
@@ -349,21 +383,19 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high:
         part = TaskContext.get().partitionId()
         for at, (batch, texts) in enumerate(chunked(batches, 0, False)):
             chunk = part << 32 | at
-            flat, counts = words_of(texts)
-            codes, starts, lengths, number = spelled(flat, table)
-            stop = np.cumsum(counts)
-            total = np.concatenate([[0.0], np.cumsum(spelling_costs(starts, lengths, number, cost))])
-            base = total[stop] - total[stop - counts] - rest * counts
-            size = np.concatenate([[0], np.cumsum(lengths + 1)])
-            words, place = padded(codes, starts, lengths, counts, order)
+            own, counts, size, base = hashed(texts, table, cost)
+            base -= rest * counts
+            words, place = padded(own, counts, order)
             doc = np.repeat(np.arange(len(counts)), counts)
-            first = place[stop - counts] - 1
+            first = place[np.cumsum(counts) - counts] - 1
             grams, owners = [], []
             for k in range(1, order + 1):
                 ends = place if k == order else np.concatenate([place, first])
-                grams.append(gram_hashes([words[ends - back] for back in range(k - 1, -1, -1)]))
-                owners.append(doc if k == order else np.concatenate([doc, np.arange(len(counts))]))
-            gram, owner = np.concatenate(grams) >> dropped_bits(buckets), np.concatenate(owners)
+                gram = gram_hashes([words[ends - back] for back in range(k - 1, -1, -1)]) >> dropped_bits(buckets)
+                mine = np.flatnonzero(within(gram, buckets, low, high))
+                grams.append(gram[mine])
+                owners.append((doc if k == order else np.concatenate([doc, np.arange(len(counts))]))[mine])
+            gram, owner = np.concatenate(grams), np.concatenate(owners)
             by = np.lexsort((owner, gram))
             gram, owner = gram[by], owner[by]
             new = np.ones(len(gram), bool)
@@ -374,7 +406,7 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high:
             times = np.diff(np.append(heads, len(gram)))
             gram, owner, new = gram[heads], owner[heads], new[heads]
             cuts = bucket_bounds(gram, buckets)
-            out = [(chunk % high, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size[stop] - size[stop - counts])))]
+            out = [(chunk % high, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size)))]
             narrow = np.uint8 if len(counts) <= 256 else np.uint16 if len(counts) <= 65536 else np.uint32
             if low:
                 out = []

@@ -57,7 +57,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+HELD = 1 << 20  # powers of a base that are kept for the next call
+_held: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
+    """The first ``n`` powers; callers do not write to them."""
+    if n <= HELD:
+        if len(_held.get(base, ())) < n:
+            _held[base] = raised(min(HELD, 2 * n), base)
+        return _held[base][:n]
+    return raised(n, base)
+
+
+def raised(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
         out[0] = 1
