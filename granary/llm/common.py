@@ -24,13 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's tables in the shared folder."""
+    return f"{shared_dir(spark)}/granary/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes a frame as a table in the shared folder and reads it back, which cuts its lineage.
 
     The shuffles of the write are deleted when it ends, since nothing reads them after that.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granary/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -41,12 +46,16 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` returned and that nothing reads any more."""
+    """Deletes tables that ``written`` returned and that nothing reads any more; other files stay."""
     for table in tables:
-        jvm = table.sparkSession._jvm
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        top = jvm.org.apache.hadoop.fs.Path(own_dir(table.sparkSession))
+        system = top.getFileSystem(conf)
+        whole = system.makeQualified(top)
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            if path.getParent().equals(whole) or path.getParent().equals(top):
+                system.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -229,8 +229,8 @@ def discounted(counts: DataFrame, context: Column) -> tuple[DataFrame, DataFrame
 def dense(rows: DataFrame, size: int, otherwise: float) -> np.ndarray:
     """A table by n-gram number; at most ``size`` rows reach the driver."""
     out = np.full(size, otherwise)
-    for r in rows.toLocalIterator():
-        out[r.gram] = r.p
+    table = rows.select("gram", "p").toArrow()
+    out[table["gram"].to_numpy()] = table["p"].to_numpy()
     return out
 
 
@@ -258,7 +258,8 @@ def cut_of(counts: DataFrame) -> Column:
 def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame, float]:
     """What each known n-gram adds to a text's log probability (see the module), and the log weight of the spelling.
 
-    Returns packed rows (bucket, body). Count tables of adjacent orders meet in joins by the shared words.
+    Returns packed rows (bucket, body) in written tables. Count tables of adjacent orders meet in joins by the
+    shared words; each table is deleted once it has served, ``trusted`` when everything is counted.
     """
     w = [f"w{i}" for i in range(1, order + 1)]
     kinds = "".join(f"{x} long, " for x in w) + "n long"
@@ -274,6 +275,7 @@ def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame,
             costs_of = trusted.mapInArrow(spell_words(cost), "w1 long, cost float").groupBy("w1").agg(F.max("cost").alias("cost"))
             below = below.join(costs_of.hint("merge"), "w1")
         levels[k] = written(below)
+    discard(trusted)
     cut = cut_of(levels[1])
     total = levels[1].agg(F.sum("n").alias("n"), F.sum(cut).alias("cut")).first()
     rest = math.log(total.cut / total.n)
@@ -285,7 +287,7 @@ def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame,
         context, suffix = w[: k - 1], w[1:k]
         shares = levels[k].groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")).select(*context, "total", F.log(F.col("cut") / F.col("total")).alias("rest"))
         shares = written(shares)
-        bodies += [packed(lower.select(*context, "gain"), k - 1), packed(shares.select(*context, "rest"), k - 1)]
+        bodies += [written(packed(lower.select(*context, "gain"), k - 1)), written(packed(shares.select(*context, "rest"), k - 1))]
         known = lower.select(*[F.col(w[i]).alias(w[i + 1]) for i in range(k - 1)], F.col("lp").alias("below"))
         own = ((F.col("n") - cut) / F.col("total")).cast("float").alias("own")
         done = []
@@ -296,11 +298,12 @@ def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame,
             both = half.join(known.hint("merge"), suffix).select(*w[:k], p.alias("lp"), (p - F.col("rest") - F.col("below")).alias("gain"))
             done.append(written(packed(both.select(*w, "gain"), order) if k == order else both))
             discard(half)
+        discard(shares, levels[1] if k == 2 else lower)
         if k == order:
             bodies += done
         else:
             lower = done[0]
-    return written(reduce(DataFrame.unionAll, bodies)), rest
+    return reduce(DataFrame.unionAll, bodies), rest
 
 
 def shrink(values: np.ndarray) -> bytes:
@@ -486,7 +489,10 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(trusted: DataFrame, order: int) -> tuple[np.ndarray, DataFrame, float]:
-    """The model of texts (squeezed, in the only column): spelling, packed gains, weight of the spelling."""
+    """The model of texts (squeezed, in the only column): spelling, packed gains, weight of the spelling.
+
+    ``trusted`` is a table that ``written`` returned, and is deleted.
+    """
     cost = spelling(trusted)
     return cost, *gains(trusted, cost, order)
 
@@ -494,7 +500,8 @@ def train(trusted: DataFrame, order: int) -> tuple[np.ndarray, DataFrame, float]
 def costs(docs: DataFrame, model: tuple[np.ndarray, DataFrame, float], keep: list[Column], text_col: str, order: int) -> DataFrame:
     """``keep`` with each text's symbols and its negative log probability.
 
-    ``docs`` is scanned once for each pass and must return its rows in the same order, as files do.
+    ``docs`` is scanned once for each pass and must return its rows in the same order, as files do. The
+    model's gains are deleted at the end.
     """
     cost, values, rest = model
     buckets = partitions(docs.sparkSession)
@@ -509,7 +516,10 @@ def costs(docs: DataFrame, model: tuple[np.ndarray, DataFrame, float], keep: lis
         asked = rows.mapInArrow(ask(cost, rest, order, buckets, low, high), "bucket int, kind int, chunk long, body binary")
         met = known.filter((F.col("bucket") >= low) & (F.col("bucket") < high)).unionAll(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
         sums.append(written(met.mapInArrow(answer, "chunk long, kind int, body binary")))
-    return written(reduce(DataFrame.unionAll, sums).repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tally, schema))
+    discard(values)
+    out = written(reduce(DataFrame.unionAll, sums).repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tally, schema))
+    discard(*sums)
+    return out
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, extra: list[Column], quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER) -> DataFrame | None:
@@ -529,7 +539,6 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
             return None
     keep = [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("lang"), *extra]
     trained = train(model.select("text"), order)
-    discard(trusted)
     rows = costs(docs, trained, keep, text_col, order)
     held = rows.select(F.col("__id").cast("long").alias("id"), "lang", "n_symbols", "cost").join(trusted_ids.hint("merge"), "id", "left_semi")
     own = held.filter(aside)
