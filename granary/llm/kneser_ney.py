@@ -108,16 +108,16 @@ def spans(texts: list[str]) -> Iterator[list[str]]:
             at, size = i, 0
 
 
-def hashed(texts: list[str], table: np.ndarray, cost: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the words in each text, and each text's symbols and spelling cost (0 without ``cost``)."""
-    out = []
+def hashed(texts: list[str], table: np.ndarray, cost: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Span by span: its first text, hashes of its words, the words in each text, each text's symbols and spelling cost (0 without ``cost``)."""
+    at = 0
     for some in spans(texts):
         flat, counts = words_of(some)
         codes, starts, lengths, number = spelled(flat, table)
         first = np.cumsum(counts) - counts
         own = np.zeros(len(counts)) if cost is None else np.add.reduceat(spelling_costs(starts, lengths, number, cost), first)
-        out.append((mixed(hashes(codes, starts, starts + lengths)), counts, np.add.reduceat(lengths + 1, first), own))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield at, mixed(hashes(codes, starts, starts + lengths)), counts, np.add.reduceat(lengths + 1, first), own
+        at += len(some)
 
 
 def padded(own: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +177,15 @@ def count_words(order: int, part: int):
         table = symbols()
         names = [*(f"w{i}" for i in range(1, order + 1)), "n"]
         for _, texts in chunked(batches, 0, True):
-            own, counts, _, _ = hashed(texts, table)
-            words, place = padded(own, counts, order)
-            gram = gram_hashes([words[place - back] for back in range(order - 1, -1, -1)])
-            mine = np.flatnonzero(gram % np.uint64(PASSES) == part)
-            _, first, n = np.unique(gram[mine], return_index=True, return_counts=True)
-            grams = [words[place[mine] - back] for back in range(order - 1, -1, -1)]
+            held = []
+            for _, own, counts, _, _ in hashed(texts, table):
+                words, place = padded(own, counts, order)
+                grams = [words[place - back] for back in range(order - 1, -1, -1)]
+                gram = gram_hashes(grams)
+                mine = np.flatnonzero(gram % np.uint64(PASSES) == part)
+                held.append([x[mine] for x in (gram, *grams)])
+            gram, *grams = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, n = np.unique(gram, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([*(pa.array(g[first].view(np.int64)) for g in grams), pa.array(n)], names=names)
 
     return run
@@ -386,19 +389,22 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high:
         part = TaskContext.get().partitionId()
         for at, (batch, texts) in enumerate(chunked(batches, 0, False)):
             chunk = part << 32 | at
-            own, counts, size, base = hashed(texts, table, cost)
-            base -= rest * counts
-            words, place = padded(own, counts, order)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            first = place[np.cumsum(counts) - counts] - 1
+            grams, owners, sizes, bases = [], [], [], []
+            for first, own, counts, size, base in hashed(texts, table, cost):
+                sizes.append(size)
+                bases.append(base - rest * counts)
+                words, place = padded(own, counts, order)
+                doc = np.arange(first, first + len(counts), dtype=np.uint32)
+                each = np.repeat(doc, counts)
+                before = place[np.cumsum(counts) - counts] - 1
+                for k in range(1, order + 1):
+                    ends = place if k == order else np.concatenate([place, before])
+                    gram = gram_hashes([words[ends - back] for back in range(k - 1, -1, -1)]) >> dropped_bits(buckets)
+                    mine = np.flatnonzero(within(gram, buckets, low, high))
+                    grams.append(gram[mine])
+                    owners.append((each if k == order else np.concatenate([each, doc]))[mine])
+            gram, owner, size, base = (np.concatenate(x) for x in (grams, owners, sizes, bases))
             grams, owners = [], []
-            for k in range(1, order + 1):
-                ends = place if k == order else np.concatenate([place, first])
-                gram = gram_hashes([words[ends - back] for back in range(k - 1, -1, -1)]) >> dropped_bits(buckets)
-                mine = np.flatnonzero(within(gram, buckets, low, high))
-                grams.append(gram[mine])
-                owners.append((doc if k == order else np.concatenate([doc, np.arange(len(counts))]))[mine])
-            gram, owner = np.concatenate(grams), np.concatenate(owners)
             by = np.lexsort((owner, gram))
             gram, owner = gram[by], owner[by]
             new = np.ones(len(gram), bool)
@@ -410,7 +416,7 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high:
             gram, owner, new = gram[heads], owner[heads], new[heads]
             cuts = bucket_bounds(gram, buckets)
             out = [(chunk % high, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size)))]
-            narrow = np.uint8 if len(counts) <= 256 else np.uint16 if len(counts) <= 65536 else np.uint32
+            narrow = np.uint8 if len(texts) <= 256 else np.uint16 if len(texts) <= 65536 else np.uint32
             if low:
                 out = []
             for b in (low + np.flatnonzero(np.diff(cuts[low : high + 1]))).tolist():
