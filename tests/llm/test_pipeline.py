@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import functions as F
-from test_operators import links_of
+from test_text_operators import links_of
 from tokenizers import Tokenizer
 
 import corpus_pipeline
