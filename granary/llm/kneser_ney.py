@@ -8,7 +8,8 @@ plus a gain for every known n-gram in it, so scoring is a join by n-gram: chunks
 their n-grams to buckets of hashes, each bucket returns sums per document, and the sums meet again.
 For an n-gram of words g with context c and suffix s, the gain is log p(g) - log b(c) - log p(s), plus
 log b(g), where b is a context's weight for the order below. A perplexity per symbol is held against
-a quantile of held-out trusted documents in the document's own language.
+a quantile of held-out trusted documents in the document's own language. A word said over and over is
+cheap after its first time, so texts that repeat the word before them are judged by that share as well.
 """
 
 from __future__ import annotations
@@ -37,8 +38,11 @@ SPAN = 1 << 18  # characters that are split and spelled at once
 VALUES = 1 << 19  # values that are packed at once
 FINGERPRINT = 40  # bits that tell n-grams of a bucket apart: of a million there, one in a million unknown n-grams is mistaken
 QUANTILE = 0.995
-SLACK = 1.12  # a document is rejected only that far beyond the quantile
+SLACK = 1.0  # a document is rejected that far beyond the quantile; held-out trusted rows need no room beyond it
 PRIOR = 60  # symbols of average trusted text that every document is given, so that short ones are judged mildly
+REPEATED = 0.25  # share of words equal to the word before them that no text may exceed, unless trusted text does so too
+WORDS = 10  # words without repeats that every text is given for that share
+LEAST_HELD = 50  # held-out trusted texts that must confirm that limit before it holds
 
 BEGIN = 0x5851F42D4C957F2D  # stands for a word before the text
 VALUE, HEADER, ASKED = range(3)
@@ -120,6 +124,15 @@ def hashed(texts: list[str], table: np.ndarray, cost: np.ndarray | None = None)
         at += len(some)
 
 
+def repeats(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each text's share of words that equal the word before them, from hashes as ``hashed`` gives them."""
+    first = np.cumsum(counts) - counts
+    same = np.zeros(len(own), np.int64)
+    same[1:] = own[1:] == own[:-1]
+    same[first] = 0
+    return np.add.reduceat(same, first) / (counts - 1 + WORDS)
+
+
 def padded(own: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with ``order - 1`` marks before each text, and the place of each word among them."""
     place = np.arange(len(own)) + np.repeat(np.arange(1, len(counts) + 1), counts) * (order - 1)
@@ -389,10 +402,11 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high:
         part = TaskContext.get().partitionId()
         for at, (batch, texts) in enumerate(chunked(batches, 0, False)):
             chunk = part << 32 | at
-            grams, owners, sizes, bases = [], [], [], []
+            grams, owners, sizes, bases, shares = [], [], [], [], []
             for first, own, counts, size, base in hashed(texts, table, cost):
                 sizes.append(size)
                 bases.append(base - rest * counts)
+                shares.append(repeats(own, counts))
                 words, place = padded(own, counts, order)
                 doc = np.arange(first, first + len(counts), dtype=np.uint32)
                 each = np.repeat(doc, counts)
@@ -403,7 +417,7 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high:
                     mine = np.flatnonzero(within(gram, buckets, low, high))
                     grams.append(gram[mine])
                     owners.append((each if k == order else np.concatenate([each, doc]))[mine])
-            gram, owner, size, base = (np.concatenate(x) for x in (grams, owners, sizes, bases))
+            gram, owner, size, base, share = (np.concatenate(x) for x in (grams, owners, sizes, bases, shares))
             grams, owners = [], []
             by = np.lexsort((owner, gram))
             gram, owner = gram[by], owner[by]
@@ -415,7 +429,7 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high:
             times = np.diff(np.append(heads, len(gram)))
             gram, owner, new = gram[heads], owner[heads], new[heads]
             cuts = bucket_bounds(gram, buckets)
-            out = [(chunk % high, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size)))]
+            out = [(chunk % high, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size), shrink(share)))]
             narrow = np.uint8 if len(texts) <= 256 else np.uint16 if len(texts) <= 65536 else np.uint32
             if low:
                 out = []
@@ -473,20 +487,20 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk and kind: a header, then sums. Returns the header's rows with symbols and cost."""
-    now, head, base, size = None, None, np.zeros(0), np.zeros(0)
+    """Rows sorted by chunk and kind: a header, then sums. Returns the header's rows with symbols, cost and share of repeats."""
+    now, head, base, size, share = None, None, np.zeros(0), np.zeros(0), np.zeros(0)
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*head.columns, pa.array(size.astype(np.int64)), pa.array(base)], names=[*head.schema.names, "n_symbols", "cost"])
+        return pa.RecordBatch.from_arrays([*head.columns, pa.array(size.astype(np.int64)), pa.array(base), pa.array(share)], names=[*head.schema.names, "n_symbols", "cost", "repeated"])
 
     for batch in batches:
         for chunk, kind, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if kind == 0:
                 if now is not None:
                     yield done()
-                rows, base, size = unbundle(body)
+                rows, base, size, share = unbundle(body)
                 head = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_next_batch()
-                now, base, size = chunk, grow(base, np.float64).copy(), grow(size, np.int64)
+                now, base, size, share = chunk, grow(base, np.float64).copy(), grow(size, np.int64), grow(share, np.float64)
             else:
                 which, total = unbundle(body)
                 np.subtract.at(base, grow(which, np.uint32), grow(total, np.float32))
@@ -504,7 +518,7 @@ def train(trusted: DataFrame, order: int) -> tuple[np.ndarray, DataFrame, float]
 
 
 def costs(docs: DataFrame, model: tuple[np.ndarray, DataFrame, float], keep: list[Column], text_col: str, order: int) -> DataFrame:
-    """``keep`` with each text's symbols and its negative log probability.
+    """``keep`` with each text's symbols, its negative log probability and its share of repeated words.
 
     ``docs`` is scanned once for each pass and must return its rows in the same order, as files do. The
     model's gains are deleted at the end.
@@ -512,7 +526,7 @@ def costs(docs: DataFrame, model: tuple[np.ndarray, DataFrame, float], keep: lis
     cost, values, rest = model
     buckets = partitions(docs.sparkSession)
     rows = docs.select(text_of(text_col).cast("binary").alias("__text"), *keep)
-    schema = rows.drop("__text").schema.add("n_symbols", "long").add("cost", "double")
+    schema = rows.drop("__text").schema.add("n_symbols", "long").add("cost", "double").add("repeated", "double")
     known = values.select("bucket", F.lit(VALUE).alias("kind"), F.lit(0).cast("long").alias("chunk"), "body")
     sums = []
     for i in range(PASSES):
@@ -546,23 +560,28 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
     keep = [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("lang"), *extra]
     trained = train(model.select("text"), order)
     rows = costs(docs, trained, keep, text_col, order)
-    held = rows.select(F.col("__id").cast("long").alias("id"), "lang", "n_symbols", "cost").join(trusted_ids.hint("merge"), "id", "left_semi")
+    held = rows.select(F.col("__id").cast("long").alias("id"), "lang", "n_symbols", "cost", "repeated").join(trusted_ids.hint("merge"), "id", "left_semi")
     own = held.filter(aside)
     held = written(held if own.isEmpty() else own)
-    first = held.agg(F.sum("cost").alias("cost"), F.sum("n_symbols").alias("n")).first()
+    first = held.agg(F.sum("cost").alias("cost"), F.sum("n_symbols").alias("n"), F.count(F.lit(1)).alias("texts")).first()
     average = first.cost / first.n
     perplexity = F.exp((F.col("cost") + PRIOR * average) / (F.col("n_symbols") + PRIOR))
     cut = F.percentile_approx(perplexity, F.lit(quantile), F.lit(10_000)).alias("cut")
     limit = F.lit(held.agg(cut).first().cut * slack)
     for r in held.filter("lang is not null").groupBy("lang").agg(cut).collect():
         limit = F.when(F.col("lang") == r.lang, r.cut * slack).otherwise(limit)
-    return rows.withColumn("perplexity", perplexity).withColumn("threshold", limit).withColumn("keep", F.col("perplexity") <= F.col("threshold"))
+    keeps = F.col("perplexity") <= F.col("threshold")
+    if first.texts >= LEAST_HELD:
+        usual = held.agg(F.percentile_approx("repeated", F.lit(quantile), F.lit(10_000)).alias("cut")).first().cut
+        keeps = keeps & (F.col("repeated") <= max(REPEATED, usual))
+    return rows.withColumn("perplexity", perplexity).withColumn("threshold", limit).withColumn("keep", keeps)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: id, lang, n_symbols, perplexity, threshold and keep.
 
-    Null and empty texts hold only the end of a text, get nearly the average perplexity and stay.
+    Rows above the threshold leave, and so do those whose words mostly repeat the word before them
+    (REPEATED). Null and empty texts hold only the end of a text, get nearly the average perplexity and stay.
     Rows of a null or unseen language meet the threshold of all trusted text. Without trusted text
     everything stays. Repeated rows get repeated results; an empty table gives no rows; other columns
     are ignored. A word's symbols are its characters and its end.

@@ -264,6 +264,17 @@ def test_quality(spark):
     assert quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_quality_of_repeated_words(spark):
+    rows = [(7000 + i, f"{w} " * n, "en", "s", 0) for i, (w, n) in enumerate([("The", 40), ("The", 4000), ("and", 300), ("the,", 90)])]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    keep = {r.doc_id: r.keep for r in quality_scores(docs.unionByName(spark.createDataFrame(rows, docs.schema)), labels).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    assert not any(keep[i] for i, *_ in rows)
+    assert sum(keep[i] for i, q in truth.items() if q == 0) < 20
+    assert np.mean([keep[i] for i, q in truth.items() if q == 1]) > 0.995
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
