@@ -18,7 +18,7 @@ from granary.llm.packing import Capacities, best_fit, cut, encoder, pack_documen
 from granary.llm.substring_dedup import substring_dedup
 from granary.llm.suffix_dedup import suffix_dedup
 from granary.llm.suffix_sort import deep_shallow
-from granary.llm.toxicity import CharacterModel, Restorer, toxicity
+from granary.llm.toxicity import CharacterModel, Restorer, fit, toxicity
 
 SF = "/root/testdata/sf0.001"
 # Columns beyond the id and the text have names that operators use inside.
@@ -289,6 +289,13 @@ def test_toxicity(spark):
     assert toxicity(odd, spark.createDataFrame([], LABELS)).filter("predicted = 1").count() == 0
 
 
+def test_words_of_a_small_language(spark):
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "bomentell ciones" if n < 5 else "scum and the" if n < 400 else "the and ciones") for n, i in enumerate(ids[:1200])]
+    labels = spark.createDataFrame([(i, 1, int(n < 400)) for n, (i, _) in enumerate(rows)], LABELS)
+    assert fit(frame(spark, rows), labels).weights.keys() == {"bomentell", "scum"}
+
+
 def test_restorer():
     words = dict.fromkeys("idiot moron clown scum trash loser stupid pathetic".split(), 2000.0) | dict.fromkeys("the and attion erth".split(), 5000.0)
     r = Restorer(CharacterModel(words))
