@@ -304,6 +304,13 @@ def test_restorer():
     assert r.restore("the$$$ and!! erth***") == "the$$$ and!! erth***"
 
 
+def test_signs_at_both_ends_and_doubled_letters():
+    words = dict.fromkeys("idiot trash stupid asshole scum rash tupid".split(), 2000.0) | dict.fromkeys("the and cum".split(), 5000.0)
+    r = Restorer(CharacterModel(words))
+    for disguised, word in (("$tupid,", "stupid"), ('"$cum"', "scum"), ("!diot!", "idiot"), ("+rash.", "trash"), ("tra$#", "trash"), ("@sshole.", "asshole"), ("$tup1d!!", "stupid"), ("stuupid", "stupid")):
+        assert word in {new for _, new in r.changes(f"the {disguised} and", True)}, disguised
+
+
 def test_main_text(spark):
     model = html_text.train()
     rng = np.random.default_rng(77)
