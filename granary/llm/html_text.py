@@ -32,6 +32,7 @@ BLOCKS = set(
     "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "blockquote pre form fieldset figure figcaption address details summary center button label dialog menu".split()
 )
+OPTION_END = re.compile(r"<(?:/?(?:option|optgroup|select|datalist)|/?(?:" + "|".join(sorted(BLOCKS)) + r"))\b", re.I)
 CLOSED_BY_BLOCK = set("p".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -99,6 +100,10 @@ def parse(source: str) -> Page:
             in_link = 0 if ending else 1
         elif name in RAW or name == "head":
             if not ending and name != "head" and not m[4].rstrip().endswith("/"):
+                if name == "option":  # its end tag may be left out
+                    end = OPTION_END.search(source, at)
+                    at = end.start() if end else n
+                    continue
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|$)", re.I).search(source, at)
                 at = end.end() if end else n
         elif name in ("br", "hr"):

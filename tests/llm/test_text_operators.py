@@ -332,6 +332,11 @@ def test_main_text(spark):
     assert html_text.decoded([-1, 0, 1, 0, 3], np.array([0.9, 0.1, 0.6, 0.2, 0.1])) == [True, False, False, False, False]
 
 
+def test_options_without_end_tags():
+    page = "<body><datalist><option value=a>A<option value=b></datalist><p>First text.<select><option>C</option></select><p>Second text."
+    assert [t for _, t in html_text.parse(page).runs] == ["First text.", "Second text."]
+
+
 @pytest.mark.parametrize("key", list(registry.oracle_sql()))
 def test_oracles(spark, key):
     con = duckdb.connect()
