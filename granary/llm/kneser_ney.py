@@ -38,7 +38,7 @@ SPAN = 1 << 18  # characters that are split and spelled at once
 VALUES = 1 << 19  # values that are packed at once
 FINGERPRINT = 40  # bits that tell n-grams of a bucket apart: of a million there, one in a million unknown n-grams is mistaken
 QUANTILE = 0.995
-SLACK = 1.0  # a document is rejected that far beyond the quantile; held-out trusted rows need no room beyond it
+SLACK = 1 + 1e-6  # room for rounding only: a copy of the text that sets the threshold must stay
 PRIOR = 60  # symbols of average trusted text that every document is given, so that short ones are judged mildly
 REPEATED = 0.25  # share of words equal to the word before them that no text may exceed, unless trusted text does so too
 WORDS = 10  # words without repeats that every text is given for that share
