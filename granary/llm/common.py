@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +15,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none (tests), a local one is made."""
+    """The folder that driver and executors share: the one the cluster names, or a folder of the warehouse where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints").rstrip("/")
 
 
 def own_dir(spark: SparkSession) -> str:
@@ -59,37 +55,71 @@ def discard(*tables: DataFrame) -> None:
 
 
 def partitions(spark: SparkSession) -> int:
-    """Shuffle partitions of the session, which follow the size of the input."""
+    """Shuffle partitions of the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions_for(spark: SparkSession, size: int, most: int) -> int:
+    """Shuffle partitions of the session, or more if ``size`` bytes would make them larger than ``most``."""
+    return max(partitions(spark), -(-size // most))
+
+
+def text_bytes(texts: DataFrame, text_col: str) -> int:
+    """Bytes of a text column, null as the empty text: one scan that returns one number."""
+    return int(texts.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0)
+
+
 def text_of(name: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
-def batches_of(rows: Iterator[tuple], schema: pa.Schema, weigh, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most about ``limit`` bytes, as ``weigh`` counts a row's bytes."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += weigh(row)
-        if size >= limit:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that start as asked and that no column of ``docs`` has, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task whose worker returns freed memory to the system at once, and the rest when the task ends."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 18)  # blocks from this size on are mapped one by one, and unmapped when freed
+            libc.mallopt(-1, 1 << 20)
+        except (OSError, AttributeError):  # another C library: memory is returned when it sees fit
+            libc = None
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return wrapped
 
 
 def kept_rows(docs: DataFrame, stay: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Rows of ``docs`` whose ``keys`` are in ``stay``, with the columns of ``docs``.
+    """Rows of ``docs`` whose ``keys`` are in ``stay``, with the columns of ``docs`` whatever their names.
 
-    ``stay`` has the names of ``keys`` and ``__rows``, the number of rows that share them; of those
+    ``stay`` has the names of ``keys`` and ``n_rows``, the number of rows that share them; of those
     one is returned. Texts are shuffled once, and a second time only if such rows exist.
     """
     names = list(keys)
-    keyed = docs.withColumns(keys)
-    out = keyed.join(stay.filter("__rows = 1").select(names), names, "left_semi")
-    if not stay.filter("__rows > 1").isEmpty():
-        out = out.unionByName(keyed.join(stay.filter("__rows > 1").select(names), names, "left_semi").dropDuplicates(names))
-    return out.select([F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+    out = keyed.join(stay.filter("n_rows = 1").select(names), names, "left_semi").select("row")
+    if not stay.filter("n_rows > 1").isEmpty():
+        again = keyed.join(stay.filter("n_rows > 1").select(names), names, "left_semi").groupBy(names).agg(F.first("row").alias("row"))
+        out = out.unionByName(again.select("row"))
+    return out.select("row.*")

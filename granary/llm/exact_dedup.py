@@ -144,7 +144,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows that stay, with all their columns. Rows that share id and text stay once."""
     groups = exact_groups(docs, id_col, text_col)
     stay = groups.filter("kept").select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest"))
-    again = groups.groupBy(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__rows"))
+    again = groups.groupBy(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("n_rows"))
     small = written(stay.join(again, ["__id", "__digest"]))
     keys = {"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), "__digest": F.unhex(F.sha2(F.translate(text_of(text_col), UPPER, LOWER).cast("binary"), 256))}
     return kept_rows(docs, small, keys)

@@ -229,7 +229,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class, that with the class's id, with all its columns. Rows with a null id stay."""
     groups = similar_groups(docs, id_col, text_col, **options).filter(f"`{id_col}` = class_id")
-    stay = written(groups.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.count(F.lit(1)).alias("__rows")))
+    stay = written(groups.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.count(F.lit(1)).alias("n_rows")))
     out = kept_rows(docs, stay, {"__id": F.col(f"`{id_col}`").cast("long"), "__tag": F.xxhash64(text_of(text_col))})
     return out.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
 

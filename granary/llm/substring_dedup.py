@@ -2,41 +2,34 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.suffix_sort import deep_shallow
 from granary.llm.superwindows import Shape, remove
 
 WINDOW = 50
 GRAM = 3
 
 
-def sort_windows(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts whole windows as byte strings, so that equal ones stand together."""
-    data = raw.tobytes()
-    windows = [data[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-    order = sorted(range(len(windows)), key=windows.__getitem__)
-    fresh = [i == 0 or windows[j] != windows[order[i - 1]] for i, j in enumerate(order)]
-    return np.array(order, np.int64), np.cumsum(fresh) - 1
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Removes each word covered by a ``window``-word sequence that also starts in a document with a smaller id.
 
     Words are what space and the characters tab to carriage return separate, unchanged. Consecutive
     windows with one minimiser (the smallest hash of three words in it) travel as one packed string
-    to the minimiser's bucket, where sorting brings equal windows together.
+    to the minimiser's partition, where an exact sort of the strings and of the windows in distinct
+    ones brings equal windows together.
 
     Columns: the id, kept (binary, UTF-8, words that remain joined by one space), spans (maximal
     removed runs as word offsets), n_symbols and n_removed (words). Null text: no words. Null id:
     text stays whole and removes nothing elsewhere. Rows that share an id never remove each other's
-    words; repeated rows give repeated results. Texts with fewer words than ``window`` stay. An
-    empty table gives no rows. Other columns are ignored whatever their names.
+    words; repeated rows give repeated results. Texts with fewer words than ``window`` stay; longer
+    ones than a chunk are hashed in chunks that overlap. An empty table gives no rows. Other columns
+    are ignored whatever their names.
     """
     if window < GRAM + 1:
         raise ValueError(f"window must be over {GRAM}")
-    return remove(docs, Shape(words=True, gram=GRAM, width=window), sort_windows, id_col, text_col)
+    return remove(docs, Shape(words=True, gram=GRAM, width=window), deep_shallow, id_col, text_col)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

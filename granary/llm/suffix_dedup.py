@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,26 +12,25 @@ WIDTH = 50
 GRAM = 10
 
 
-def sort_windows(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return deep_shallow(raw, starts, int(stops[0] - starts[0]) if len(starts) else 0)
-
-
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Removes each byte covered by a ``width``-byte string that also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes; matches never cross documents and are judged on the input. Suffixes are
-    dealt to buckets by the minimiser of their first ``width`` bytes; in a bucket a deep-shallow
-    sort of those suffixes (multikey quicksort, then blind tries) brings equal strings together.
+    dealt to partitions by the minimiser of their first ``width`` bytes, neighbours as one packed
+    string. There a deep-shallow sort (multikey quicksort, then blind tries) orders first the packed
+    strings, whose equal ones are the long repeats, and then the suffixes of the distinct ones; every
+    removed byte follows from one of these orders. A fingerprint only leaves out what is unique.
 
     Columns: the id, kept (binary, the bytes that remain), spans (maximal removed runs as byte
     offsets), n_symbols and n_removed (bytes). Null text: empty. Null id: text stays whole and
     removes nothing elsewhere. Rows that share an id never remove each other's bytes; repeated rows
-    give repeated results. Texts shorter than ``width`` stay. An empty table gives no rows. Other
-    columns are ignored whatever their names.
+    give repeated results. Texts shorter than ``width`` stay; longer ones than a chunk are hashed in
+    chunks that overlap, so no length is special. An empty table gives no rows. Other columns are
+    ignored whatever their names.
     """
     if width < GRAM + 1:
         raise ValueError(f"width must be over {GRAM}")
-    return remove(docs, Shape(words=False, gram=GRAM, width=width), sort_windows, id_col, text_col)
+    return remove(docs, Shape(words=False, gram=GRAM, width=width), deep_shallow, id_col, text_col)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Deep-shallow sorting of many suffixes at once, over numpy arrays.
 
-Suffixes are compared on their first ``width`` bytes only. A multikey quicksort whose symbols are
-words of eight bytes orders them to a shallow depth: each pass sorts, by their next word, only the
-suffixes that are still tied. What remains are groups with long common prefixes. Blind tries order
-those: in every group one suffix is the path of a trie, the first differing byte against it gives
-each other suffix its branch (depth and byte), and the branches are tries of their own.
+Each suffix ends at a stop of its own. Multikey quicksort orders suffixes to a shallow depth: every
+open group takes a pivot symbol (a word of eight bytes) and splits into the suffixes whose symbol at
+the group's depth is less, equal or greater; the equal part moves on to the next symbol. All groups
+split in one pass. What remains at that depth are groups with long common prefixes. Blind tries order
+those: in every group one suffix is the path of a trie, the first differing byte against it gives each
+other suffix its branch (depth and byte), and the branches are tries of their own.
 """
 
 from __future__ import annotations
@@ -12,69 +13,91 @@ from __future__ import annotations
 import numpy as np
 
 SHALLOW = 16
-
-
-def words_at(padded: np.ndarray, starts: np.ndarray, depth: int, width: int) -> np.ndarray:
-    """Eight bytes of each suffix from ``depth`` as a big-endian number; bytes beyond ``width`` count as zero."""
-    view = np.ndarray(shape=(len(padded) - 7,), dtype=">u8", buffer=padded, strides=(1,))
-    out = view[starts + depth].astype(np.uint64)
-    if width - depth < 8:
-        out &= np.uint64(((1 << (8 * (width - depth))) - 1) << (64 - 8 * (width - depth)))
+EDGE = 8  # bytes of a symbol
+
+
+def words_at(padded: np.ndarray, at: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Eight bytes from each ``at`` as a big-endian number; bytes at its stop and beyond count as zero."""
+    view = np.ndarray(shape=(len(padded) - EDGE + 1,), dtype=">u8", buffer=padded, strides=(1,))
+    out = view[np.minimum(at, len(view) - 1)].astype(np.uint64)
+    short = np.flatnonzero(stops - at < EDGE)
+    if len(short):
+        room = np.clip(stops[short] - at[short], 0, EDGE)
+        shift = (8 * (EDGE - room)).astype(np.uint64)
+        out[short] = np.where(room > 0, (out[short] >> np.minimum(shift, 63)) << np.minimum(shift, 63), 0)
     return out
 
 
-def dense(changed: np.ndarray) -> np.ndarray:
-    return np.cumsum(changed) - 1
+def dense(first: np.ndarray) -> np.ndarray:
+    """A group's number for each place, from marks at the heads of groups."""
+    return np.cumsum(first) - 1
 
 
-def shallow_sort(padded: np.ndarray, starts: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the first ``depth`` bytes, and the tie group of each suffix in that order."""
+def multikey(padded: np.ndarray, starts: np.ndarray, stops: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the first ``shallow`` bytes, and the group of each place: suffixes that are equal that far."""
     n = len(starts)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    for at in range(0, depth, 8):
-        if at == 0:
-            tied = np.arange(n)
-        else:
-            size = np.bincount(group, minlength=n)
-            tied = np.flatnonzero(size[group] > 1)
-        if not len(tied):
-            break
-        key = words_at(padded, starts[order[tied]], at, width)
-        by = np.argsort(key, kind="stable") if at == 0 else np.lexsort((key, group[tied]))
-        order[tied] = order[tied][by]
-        changed = np.ones(n, bool)
-        changed[1:] = group[1:] != group[:-1]
-        sorted_key, sorted_group = key[by], group[tied][by]
-        differs = np.ones(len(tied), bool)
-        differs[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_group[1:] != sorted_group[:-1])
-        changed[tied] |= differs
-        group = dense(changed)
-    return order, group
-
-
-def common_prefix(padded: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, width: int) -> np.ndarray:
-    """Length of the common prefix of suffix pairs that agree on ``depth`` bytes, ``width`` at most."""
-    out = np.full(len(a), width, np.int64)
-    open_ = np.arange(len(a))
-    for at in range(depth, width, 8):
-        if not len(open_):
-            break
-        x = words_at(padded, a[open_], at, width) ^ words_at(padded, b[open_], at, width)
+    order, first, depth = np.arange(n), np.zeros(n, bool), np.zeros(n, np.int64)
+    first[:1] = True
+    key = words_at(padded, starts, stops)
+    head, size = np.array([0]), np.array([n])
+    while True:
+        live = (size > 1) & (depth[head] < shallow)
+        head, size = head[live], size[live]
+        if not len(head):
+            return order, dense(first)
+        at = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(head)), size)
+        place = np.repeat(head - at, size) + np.arange(len(group))
+        k = key[place]
+        a, b, c = k[at], k[at + size // 2], k[at + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        side = (k >= pivot).astype(np.int8) + (k > pivot)
+        part = group * 3 + side
+        counts = np.bincount(part, minlength=3 * len(head))
+        offset = np.cumsum(counts) - counts
+        to = np.empty(len(part), np.int64)
+        for s in range(3):
+            own = np.flatnonzero(side == s)
+            each = counts[s::3]
+            to[own] = np.arange(len(own)) + np.repeat(offset[s::3] - (np.cumsum(each) - each), each)
+        moved = np.empty(len(part), np.int64)
+        moved[to] = order[place]
+        order[place] = moved
+        sorted_key = np.empty(len(part), np.uint64)
+        sorted_key[to] = k
+        key[place] = sorted_key
+        some = np.flatnonzero(counts)
+        first[place[offset[some]]] = True
+        equal = place[to[side == 1]]
+        depth[equal] += EDGE
+        key[equal] = words_at(padded, starts[order[equal]] + depth[equal], stops[order[equal]])
+        head, size = place[offset[some]], counts[some]
+
+
+def common_prefix(padded: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of pairs of suffixes that agree on ``depth`` bytes, ``length`` at most."""
+    out = length.copy()
+    open_ = np.flatnonzero(length > depth)
+    at = depth
+    while len(open_):
+        stop = length[open_]
+        x = words_at(padded, a[open_] + at, a[open_] + stop) ^ words_at(padded, b[open_] + at, b[open_] + stop)
         hit = np.flatnonzero(x)
         if len(hit):
-            high = x[hit].astype(">u8").view(np.uint8).reshape(-1, 8)
-            out[open_[hit]] = at + np.argmax(high != 0, axis=1)
-            open_ = np.delete(open_, hit)
-    return np.minimum(out, width)
+            out[open_[hit]] = at + np.argmax(x[hit].astype(">u8").view(np.uint8).reshape(-1, EDGE) != 0, axis=1)
+        at += EDGE
+        open_ = open_[(x == 0) & (stop > at)]
+    return out
 
 
-def blind_tries(padded: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def blind_tries(padded: np.ndarray, starts: np.ndarray, stops: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Orders suffixes within groups that share ``depth`` bytes; equal suffixes get one group.
 
     ``group`` is sorted. Returns the order and the new groups in that order.
     """
     n = len(starts)
     order, rank, leaf = np.arange(n), group.astype(np.int64), np.zeros(n, bool)
+    length = stops - starts
     while True:
         first = np.ones(n, bool)
         first[1:] = rank[1:] != rank[:-1]
@@ -83,12 +106,13 @@ def blind_tries(padded: np.ndarray, starts: np.ndarray, group: np.ndarray, depth
         open_ = np.flatnonzero(np.repeat((size > 1) & ~leaf[head], size))
         if not len(open_):
             return order, dense(first)
-        pivot = starts[order[np.repeat(head, size)[open_]]]
-        own = starts[order[open_]]
-        lcp = common_prefix(padded, own, pivot, depth, width)
-        branch = np.minimum(lcp, width - 1)
-        here, there = padded[own + branch].astype(np.int64), padded[pivot + branch].astype(np.int64)
-        same = lcp >= width
+        path = order[np.repeat(head, size)[open_]]
+        own = order[open_]
+        least = np.minimum(length[own], length[path])
+        lcp = common_prefix(padded, starts[own], starts[path], least, min(depth, int(least.min())))
+        here = np.where(lcp < length[own], padded[starts[own] + lcp].astype(np.int64), -1)  # an end comes before every byte
+        there = np.where(lcp < length[path], padded[starts[path] + lcp].astype(np.int64), -1)
+        same = here == there
         side = np.where(same, 0, np.where(here < there, -1, 1))
         along = np.where(same, 0, np.where(side < 0, lcp, -lcp))
         edge = np.where(same, 0, here)
@@ -102,28 +126,26 @@ def blind_tries(padded: np.ndarray, starts: np.ndarray, group: np.ndarray, depth
         rank = dense(first)
 
 
-def deep_shallow(buffer: bytes | np.ndarray, starts: np.ndarray, width: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the suffixes at ``starts`` by their first ``width`` bytes.
+def deep_shallow(buffer: bytes | np.ndarray, starts: np.ndarray, stops: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the suffixes buffer[start:stop].
 
-    Returns their order (indexes into ``starts``) and, along it, a number that equal prefixes share.
+    Returns their order (indexes into ``starts``) and, along it, a number that equal suffixes share.
     """
     raw = np.frombuffer(buffer, np.uint8) if isinstance(buffer, bytes) else buffer
-    padded = np.concatenate([raw, np.zeros(width + 8, np.uint8)])
-    starts = np.asarray(starts, np.int64)
+    padded = np.concatenate([raw, np.zeros(EDGE, np.uint8)])
+    starts, stops = np.asarray(starts, np.int64), np.asarray(stops, np.int64)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    shallow = min(shallow, width)
-    order, group = shallow_sort(padded, starts, shallow, width)
-    if shallow < width:
-        size = np.bincount(group, minlength=len(starts))
-        deep = np.flatnonzero(size[group] > 1)
-        if len(deep):
-            sub, new = blind_tries(padded, starts[order[deep]], group[deep], shallow, width)
-            order[deep] = order[deep][sub]
-            changed = np.ones(len(starts), bool)
-            changed[1:] = group[1:] != group[:-1]
-            differs = np.ones(len(deep), bool)
-            differs[1:] = new[1:] != new[:-1]
-            changed[deep] |= differs
-            group = dense(changed)
+    order, group = multikey(padded, starts, stops, shallow)
+    size = np.bincount(group, minlength=len(starts))
+    deep = np.flatnonzero(size[group] > 1)
+    if len(deep):
+        sub, new = blind_tries(padded, starts[order[deep]], stops[order[deep]], group[deep], shallow)
+        changed = np.ones(len(starts), bool)
+        changed[1:] = group[1:] != group[:-1]
+        order[deep] = order[deep][sub]
+        differs = np.ones(len(deep), bool)
+        differs[1:] = new[1:] != new[:-1]
+        changed[deep] |= differs
+        group = dense(changed)
     return order, group

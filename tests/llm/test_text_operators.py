@@ -76,23 +76,25 @@ def test_repeats(spark, f, split, join):
 def test_long_texts_are_cut_nowhere(spark, monkeypatch):
     from granary.llm import superwindows
 
-    monkeypatch.setattr(superwindows, "CHUNK", 400)
-    monkeypatch.setattr(superwindows, "FLUSH", 3000)
+    for name, value in (("CHUNK", 400), ("FLUSH", 3000), ("SLICE", 2000), ("GROWN", 5000), ("PARTITION", 9000)):
+        monkeypatch.setattr(superwindows, name, value)
     rows = [(i, t[:5000] if t else t) for i, t in texts(2, 12)]
-    got = collections.Counter((r.doc_id, bytes(r.kept), r.n_symbols, r.n_removed, len(r.spans)) for r in suffix_dedup(frame(spark, rows)).collect())
-    assert got == removed(rows, 50, list, bytes)
+    for f, split, join in ((suffix_dedup, list, bytes), (substring_dedup, bytes.split, b" ".join)):
+        got = collections.Counter((r.doc_id, bytes(r.kept), r.n_symbols, r.n_removed, len(r.spans)) for r in f(frame(spark, rows)).collect())
+        assert got == removed(rows, 50, split, join)
 
 
 def test_deep_shallow():
     rng = np.random.default_rng(3)
-    for symbols, width, shallow in ((2, 50, 16), (3, 30, 8), (2, 9, 16), (1, 50, 16)):
-        data = rng.integers(97, 97 + symbols, 900, np.uint8).tobytes()
+    for symbols, width, shallow in ((2, 50, 16), (3, 30, 8), (2, 9, 16), (1, 50, 16), (256, 70, 16)):
+        data = rng.integers(0, symbols, 900, np.uint8).tobytes()
         data += data[100:400] * 2
         starts = rng.integers(0, len(data) - width, 700)
-        order, group = deep_shallow(data, starts, width, shallow)
-        found = [data[a : a + width] for a in starts[order]]
-        assert found == sorted(found)
-        assert all((g == h) == (a == b) for a, b, g, h in zip(found, found[1:], group, group[1:], strict=False))
+        for stops in (starts + width, starts + rng.integers(0, width, 700)):
+            order, group = deep_shallow(data, starts, stops, shallow)
+            found = [data[a:b] for a, b in zip(starts[order], stops[order], strict=True)]
+            assert found == sorted(found)
+            assert all((g == h) == (a == b) for a, b, g, h in zip(found, found[1:], group, group[1:], strict=False))
 
 
 def test_exact(spark):
