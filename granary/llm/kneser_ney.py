@@ -7,13 +7,16 @@ its context and with the order below). A text's log probability is then the spel
 plus a gain for every known n-gram in it, so scoring is a join by n-gram: chunks of documents send
 their n-grams to buckets of hashes, each bucket returns sums per document, and the sums meet again.
 For an n-gram of words g with context c and suffix s, the gain is log p(g) - log b(c) - log p(s), plus
-log b(g), where b is a context's weight for the order below. A perplexity per symbol is held against
+log b(g), where b is a context's weight for the order below. The most frequent n-grams, in a table
+of fixed size, are answered where they are asked, so no shard gets one posting a document of them.
+A perplexity per symbol is held against
 a quantile of held-out trusted documents in the document's own language. A word said over and over is
 cheap after its first time, so texts that repeat the word before them are judged by that share as well.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import struct
 from collections.abc import Iterator
@@ -26,17 +29,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import discard, partitions, text_of, written
+from granary.llm.common import discard, frugal, partitions_for, text_bytes, text_of, written
 from granary.llm.superwindows import BASE, hashes, mixed
 
 ORDER = 2  # words in an n-gram, at least 2
 FOLDS = 5  # one in so many trusted documents sets thresholds instead of being counted
-PASSES = 2  # n-grams are counted and looked up in so many parts one after the other, which divides the disk that shuffles hold
+PASSES = 2  # n-grams are counted in so many parts one after the other, which divides the disk that shuffles hold
 ALPHABET = 80  # symbols at most: the spelling has ALPHABET ** 3 entries
-CHUNK = 1 << 23  # characters whose n-grams are counted or looked up at once; an n-gram is sent once a chunk
+CHUNK = 1 << 23  # characters whose n-grams are counted at once; an n-gram is sent once a chunk
+ASKED_CHUNK = 1 << 22  # characters whose n-grams are looked up at once
+SHARD = 64 << 20  # bytes of text whose n-grams a shard is planned for
+HOT = 1 << 19  # n-grams of each length at most that are answered from a table beside the join
+SLOT_BITS = 21  # slots of that table, each for one n-gram
 SPAN = 1 << 18  # characters that are split and spelled at once
 VALUES = 1 << 19  # values that are packed at once
-FINGERPRINT = 40  # bits that tell n-grams of a bucket apart: of a million there, one in a million unknown n-grams is mistaken
+FINGERPRINT = 48  # bits that tell n-grams of a shard apart: of a million there, one in 10**8 unknown n-grams is mistaken, and shards do not grow
 QUANTILE = 0.995
 SLACK = 1 + 1e-6  # room for rounding only: a copy of the text that sets the threshold must stay
 PRIOR = 60  # symbols of average trusted text that every document is given, so that short ones are judged mildly
@@ -149,7 +156,7 @@ def gram_hashes(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def chunked(batches: Iterator[pa.RecordBatch], column: int, squeezed: bool) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def chunked(batches: Iterator[pa.RecordBatch], column: int, squeezed: bool, most: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     z = zstandard.ZstdDecompressor()
     for batch in batches:
         at, size = 0, 0
@@ -158,7 +165,7 @@ def chunked(batches: Iterator[pa.RecordBatch], column: int, squeezed: bool) -> I
             raw = batch.column(column)[i].as_py()
             texts.append((z.decompress(raw) if squeezed else raw).decode("utf-8", "replace"))
             size += len(texts[-1])
-            if size >= CHUNK:
+            if size >= most:
                 yield batch.slice(at, i + 1 - at), texts
                 at, size, texts = i + 1, 0, []
         if texts:
@@ -173,7 +180,7 @@ def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, table = np.zeros(ALPHABET**3, np.int64), symbols()
-    for _, texts in chunked(batches, 0, True):
+    for _, texts in chunked(batches, 0, True, CHUNK):
         for some in spans(texts):
             _, starts, _, number = spelled(words_of(some)[0], table)
             event = np.ones(len(number), bool)
@@ -189,7 +196,7 @@ def count_words(order: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbols()
         names = [*(f"w{i}" for i in range(1, order + 1)), "n"]
-        for _, texts in chunked(batches, 0, True):
+        for _, texts in chunked(batches, 0, True, CHUNK):
             held = []
             for _, own, counts, _, _ in hashed(texts, table):
                 words, place = padded(own, counts, order)
@@ -209,7 +216,7 @@ def spell_words(cost: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbols()
-        for _, texts in chunked(batches, 0, True):
+        for _, texts in chunked(batches, 0, True, CHUNK):
             distinct: set[str] = set()
             for some in spans(texts):
                 distinct.update(words_of(some)[0])
@@ -271,27 +278,54 @@ def cut_of(counts: DataFrame) -> Column:
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
-def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame, float]:
+def heavy(counted: DataFrame, words: list[str], n: str, free: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the n-grams with the highest counts, HOT at most, each in a slot that is still ``free``."""
+    level = F.floor(F.log2(F.col(n)) * 8)
+    least, total = None, 0
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):  # 8 rows at most for each doubling of the count
+        total += r.rows
+        if total > HOT:
+            break
+        least = r.level
+    if least is None:
+        return np.zeros(0, np.uint64)
+    rows = counted.filter(level >= least).select(words).toArrow()
+    found = np.unique(gram_hashes([rows.column(i).to_numpy().view(np.uint64) for i in range(len(words))]))
+    slot = slot_of(found)
+    _, first = np.unique(slot, return_index=True)
+    first = first[free[slot[first]]]
+    free[slot[first]] = False
+    return found[first]
+
+
+def slot_of(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def gains(trusted: DataFrame, cost: np.ndarray, order: int, buckets: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], float]:
     """What each known n-gram adds to a text's log probability (see the module), and the log weight of the spelling.
 
-    Returns packed rows (bucket, body) in written tables. Count tables of adjacent orders meet in joins by the
-    shared words; each table is deleted once it has served, ``trusted`` when everything is counted.
+    Returns packed rows (bucket, body) in written tables, and apart from them the hashes and gains of the
+    most frequent n-grams. Count tables of adjacent orders meet in joins by the shared words; each table
+    is deleted once it has served, ``trusted`` when everything is counted.
     """
     w = [f"w{i}" for i in range(1, order + 1)]
     kinds = "".join(f"{x} long, " for x in w) + "n long"
     parts = []
     for i in range(PASSES):
-        part = trusted.mapInArrow(count_words(order, i), kinds).groupBy(w).agg(F.sum("n").alias("n"))
+        part = trusted.mapInArrow(frugal(count_words(order, i)), kinds).groupBy(w).agg(F.sum("n").alias("n"))
         parts.append(written(part.sortWithinPartitions("w1")))
     levels = {order: reduce(DataFrame.unionAll, parts)}
     for k in range(order - 1, 0, -1):
         below = levels[k + 1].groupBy(w[1 : k + 1]).agg(F.count(F.lit(1)).alias("n"))
         below = below.withColumnsRenamed({w[i]: w[i - 1] for i in range(1, k + 1)})
         if k == 1:
-            costs_of = trusted.mapInArrow(spell_words(cost), "w1 long, cost float").groupBy("w1").agg(F.max("cost").alias("cost"))
+            costs_of = trusted.mapInArrow(frugal(spell_words(cost)), "w1 long, cost float").groupBy("w1").agg(F.max("cost").alias("cost"))
             below = below.join(costs_of.hint("merge"), "w1")
         levels[k] = written(below)
     discard(trusted)
+    free = np.ones(1 << SLOT_BITS, bool)
+    top = heavy(levels[order], w, "n", free)
     cut = cut_of(levels[1])
     total = levels[1].agg(F.sum("n").alias("n"), F.sum(cut).alias("cut")).first()
     rest = math.log(total.cut / total.n)
@@ -303,7 +337,8 @@ def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame,
         context, suffix = w[: k - 1], w[1:k]
         shares = levels[k].groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")).select(*context, "total", F.log(F.col("cut") / F.col("total")).alias("rest"))
         shares = written(shares)
-        bodies += [written(packed(lower.select(*context, "gain"), k - 1)), written(packed(shares.select(*context, "rest"), k - 1))]
+        hot = heavy(shares, context, "total", free)
+        bodies += [written(packed(lower.select(*context, "gain"), k - 1, buckets, hot)), written(packed(shares.select(*context, "rest"), k - 1, buckets, hot))]
         known = lower.select(*[F.col(w[i]).alias(w[i + 1]) for i in range(k - 1)], F.col("lp").alias("below"))
         own = ((F.col("n") - cut) / F.col("total")).cast("float").alias("own")
         done = []
@@ -312,25 +347,30 @@ def gains(trusted: DataFrame, cost: np.ndarray, order: int) -> tuple[DataFrame,
             discard(part)
             p = F.log(F.col("own") + F.exp(F.col("rest") + F.col("below")))
             both = half.join(known.hint("merge"), suffix).select(*w[:k], p.alias("lp"), (p - F.col("rest") - F.col("below")).alias("gain"))
-            done.append(written(packed(both.select(*w, "gain"), order) if k == order else both))
+            done.append(written(packed(both.select(*w, "gain"), order, buckets, top) if k == order else both))
             discard(half)
         discard(shares, levels[1] if k == 2 else lower)
         if k == order:
             bodies += done
         else:
             lower = done[0]
-    return reduce(DataFrame.unionAll, bodies), rest
+    every = reduce(DataFrame.unionAll, bodies)
+    frequent = [unbundle(x.as_py()) for x in every.filter("bucket < 0").select("body").toArrow().column(0)]  # at most HOT n-grams of each length, twice
+    if not frequent:
+        return every, (np.zeros(0, np.uint64), np.zeros(0, np.float32)), rest
+    hashed_, at = np.unique(np.concatenate([np.cumsum(grow(g, np.uint64), dtype=np.uint64) for g, _ in frequent]), return_inverse=True)
+    return every, (hashed_, np.bincount(at, np.concatenate([grow(v, np.float32) for _, v in frequent]), len(hashed_)).astype(np.float32)), rest
 
 
 def shrink(values: np.ndarray) -> bytes:
     """Numbers byte by byte, so that equal high bytes compress."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
 
 
 def grow(raw: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).reshape(-1).view(kind)
 
 
 def bundle(*parts: bytes) -> bytes:
@@ -358,14 +398,8 @@ def bucket_bounds(kept: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket_of(kept, buckets), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def within(kept: np.ndarray, buckets: int, low: int, high: int) -> np.ndarray:
-    bucket = bucket_of(kept, buckets)
-    return (bucket >= np.uint64(low)) & (bucket < np.uint64(high))
-
-
-def packed(rows: DataFrame, k: int) -> DataFrame:
-    """Rows (k words, value) as packed bodies by bucket."""
-    buckets = partitions(rows.sparkSession)
+def packed(rows: DataFrame, k: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Rows (k words, value) as packed bodies by bucket; those whose hash is in ``hot`` as bodies of bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -378,45 +412,66 @@ def packed(rows: DataFrame, k: int) -> DataFrame:
         if size:
             yield send(held)
 
+    def body(grams: np.ndarray, values: np.ndarray) -> bytes:
+        return bundle(shrink(np.diff(grams, prepend=np.uint64(0))), shrink(values))
+
     def send(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held)
-        grams = gram_hashes([whole.column(i).to_numpy().view(np.uint64) for i in range(k)]) >> dropped_bits(buckets)
+        grams = gram_hashes([whole.column(i).to_numpy().view(np.uint64) for i in range(k)])
         by = np.argsort(grams)
         grams, values = grams[by], whole.column(k).to_numpy()[by].astype(np.float32)
+        often = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams if len(hot) else np.zeros(len(grams), bool)
+        some, bodies = [], []
+        if often.any():
+            some, bodies = [-1], [body(grams[often], values[often])]
+        grams, values = grams[~often] >> dropped_bits(buckets), values[~often]
         cuts = bucket_bounds(grams, buckets)
-        some = np.flatnonzero(np.diff(cuts))
-        bodies = [bundle(shrink(np.diff(grams[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))), shrink(values[cuts[b] : cuts[b + 1]])) for b in some]
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            some.append(b)
+            bodies.append(body(grams[cuts[b] : cuts[b + 1]], values[cuts[b] : cuts[b + 1]]))
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
 
-    return rows.mapInArrow(run, "bucket int, body binary")
+    return rows.mapInArrow(frugal(run), "bucket int, body binary")
 
 
-def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high: int):
-    """Texts to packed n-grams for buckets from ``low`` to before ``high``.
+def chunk_key(part: int, at: int, texts: pa.Array) -> int:
+    """A number for a chunk that depends on its texts, so that parts of different attempts at a task never mix."""
+    digest = hashlib.blake2b(f"{part} {at}".encode(), digest_size=8)
+    for text in texts:
+        digest.update(text.as_buffer())
+    return int.from_bytes(digest.digest(), "little", signed=True)
 
-    If ``low`` is 0, also to a header with the rows' other columns and spelling costs.
-    """
+
+def ask(cost: np.ndarray, rest: float, order: int, buckets: int, hot: tuple[np.ndarray, np.ndarray]):
+    """Texts to packed n-grams for buckets, and a header with the rows' other columns, spelling costs less the gains of ``hot``, and the number of buckets asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbols()
+        known, value = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.float32)
+        known[slot_of(hot[0])], value[slot_of(hot[0])] = hot
         part = TaskContext.get().partitionId()
-        for at, (batch, texts) in enumerate(chunked(batches, 0, False)):
-            chunk = part << 32 | at
+        for at, (batch, texts) in enumerate(chunked(batches, 0, False, ASKED_CHUNK)):
+            chunk = chunk_key(part, at, batch.column(0))
             grams, owners, sizes, bases, shares = [], [], [], [], []
             for first, own, counts, size, base in hashed(texts, table, cost):
                 sizes.append(size)
-                bases.append(base - rest * counts)
+                base = base - rest * counts
                 shares.append(repeats(own, counts))
                 words, place = padded(own, counts, order)
-                doc = np.arange(first, first + len(counts), dtype=np.uint32)
+                doc = np.arange(len(counts), dtype=np.uint32)
                 each = np.repeat(doc, counts)
                 before = place[np.cumsum(counts) - counts] - 1
                 for k in range(1, order + 1):
                     ends = place if k == order else np.concatenate([place, before])
-                    gram = gram_hashes([words[ends - back] for back in range(k - 1, -1, -1)]) >> dropped_bits(buckets)
-                    mine = np.flatnonzero(within(gram, buckets, low, high))
-                    grams.append(gram[mine])
-                    owners.append((each if k == order else np.concatenate([each, doc]))[mine])
+                    owner = each if k == order else np.concatenate([each, doc])
+                    gram = gram_hashes([words[ends - back] for back in range(k - 1, -1, -1)])
+                    slot = slot_of(gram)
+                    hit = known[slot] == gram
+                    base -= np.bincount(owner[hit], value[slot[hit]], len(counts))
+                    cold = np.flatnonzero(~hit)
+                    grams.append(gram[cold] >> dropped_bits(buckets))
+                    owners.append(owner[cold] + np.uint32(first))
+                bases.append(base)
             gram, owner, size, base, share = (np.concatenate(x) for x in (grams, owners, sizes, bases, shares))
             grams, owners = [], []
             by = np.lexsort((owner, gram))
@@ -429,17 +484,15 @@ def ask(cost: np.ndarray, rest: float, order: int, buckets: int, low: int, high:
             times = np.diff(np.append(heads, len(gram)))
             gram, owner, new = gram[heads], owner[heads], new[heads]
             cuts = bucket_bounds(gram, buckets)
-            out = [(chunk % high, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size), shrink(share)))]
             narrow = np.uint8 if len(texts) <= 256 else np.uint16 if len(texts) <= 65536 else np.uint32
-            if low:
-                out = []
-            for b in (low + np.flatnonzero(np.diff(cuts[low : high + 1]))).tolist():
+            asked = np.flatnonzero(np.diff(cuts)).tolist()
+            out = [(chunk % buckets, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size), shrink(share), struct.pack("<I", len(asked))))]
+            for b in asked:
                 lo, hi = cuts[b], cuts[b + 1]
                 own = np.flatnonzero(new[lo:hi])
                 each = np.diff(np.append(own, hi - lo))
                 out.append((b, ASKED, chunk, bundle(shrink(np.diff(gram[lo:hi][own], prepend=np.uint64(0))), shrink(each.astype(np.uint32)), shrink(owner[lo:hi].astype(narrow)), shrink(times[lo:hi].astype(np.uint32)), bytes([np.dtype(narrow).itemsize]))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
 
     return run
 
@@ -456,7 +509,8 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, grams, values, held = None, np.zeros(0, np.uint64), np.zeros(0), []
     for batch in batches:
         out = []
-        for bucket, kind, chunk, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, kind, chunk, body in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+            body = body.as_py()
             if bucket != now:
                 now, held, grams, values = bucket, [], np.zeros(0, np.uint64), np.zeros(0)
             if kind == VALUE:
@@ -467,78 +521,81 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 every = np.concatenate([np.cumsum(grow(g, np.uint64), dtype=np.uint64) for g, _ in pairs])
                 grams, at = np.unique(every, return_inverse=True)
                 values = np.bincount(at, np.concatenate([grow(v, np.float32) for _, v in pairs]), len(grams))
-                held = []
+                held, pairs, every, at = [], [], None, None
             if kind == HEADER:
                 out.append((chunk, 0, body))
                 continue
             asked, each, owner, times, size = unbundle(body)
             asked = np.cumsum(grow(asked, np.uint64), dtype=np.uint64)
-            if not len(grams):
-                continue
-            at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
-            gain = np.where(grams[at] == asked, values[at], 0.0)
-            owner = grow(owner, {1: np.uint8, 2: np.uint16, 4: np.uint32}[size[0]])
-            total = np.bincount(owner, np.repeat(gain, grow(each, np.uint32)) * grow(times, np.uint32))
+            total = np.zeros(0)
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+                gain = np.where(grams[at] == asked, values[at], 0.0)
+                owner = grow(owner, {1: np.uint8, 2: np.uint16, 4: np.uint32}[size[0]])
+                total = np.bincount(owner, np.repeat(gain, grow(each, np.uint32)) * grow(times, np.uint32))
             some = np.flatnonzero(total)
-            if len(some):
-                out.append((chunk, 1, bundle(shrink(some.astype(np.uint32)), shrink(total[some].astype(np.float32)))))
+            out.append((chunk, 1, bundle(shrink(some.astype(np.uint32)), shrink(total[some].astype(np.float32)))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ANSWERS.types, strict=True)], schema=ANSWERS)
 
 
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by chunk and kind: a header, then sums. Returns the header's rows with symbols, cost and share of repeats."""
-    now, head, base, size, share = None, None, np.zeros(0), np.zeros(0), np.zeros(0)
+    now, head, base, size, share, due = None, None, np.zeros(0), np.zeros(0), np.zeros(0), 0
 
     def done() -> pa.RecordBatch:
+        if due:
+            raise RuntimeError("a task that was run again returned other rows than before; write the documents to a table first")
         return pa.RecordBatch.from_arrays([*head.columns, pa.array(size.astype(np.int64)), pa.array(base), pa.array(share)], names=[*head.schema.names, "n_symbols", "cost", "repeated"])
 
     for batch in batches:
-        for chunk, kind, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for chunk, kind, body in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
+            body = body.as_py()
             if kind == 0:
                 if now is not None:
                     yield done()
-                rows, base, size, share = unbundle(body)
+                rows, base, size, share, asked = unbundle(body)
                 head = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_next_batch()
-                now, base, size, share = chunk, grow(base, np.float64).copy(), grow(size, np.int64), grow(share, np.float64)
+                now, base, size, share, due = chunk, grow(base, np.float64).copy(), grow(size, np.int64), grow(share, np.float64), struct.unpack("<I", asked)[0]
             else:
+                if chunk != now:
+                    raise RuntimeError("a task that was run again returned other rows than before; write the documents to a table first")
                 which, total = unbundle(body)
                 np.subtract.at(base, grow(which, np.uint32), grow(total, np.float32))
+                due -= 1
     if now is not None:
         yield done()
 
 
-def train(trusted: DataFrame, order: int) -> tuple[np.ndarray, DataFrame, float]:
-    """The model of texts (squeezed, in the only column): spelling, packed gains, weight of the spelling.
+Model = tuple[np.ndarray, DataFrame, tuple[np.ndarray, np.ndarray], float, int]
 
-    ``trusted`` is a table that ``written`` returned, and is deleted.
+
+def train(trusted: DataFrame, order: int, size: int) -> Model:
+    """The model of texts (squeezed, in the only column): spelling, packed gains, frequent n-grams, weight of the spelling, shards.
+
+    ``trusted`` is a table that ``written`` returned, and is deleted. ``size`` is the bytes of all texts that
+    will be scored, which sets the number of shards.
     """
+    buckets = partitions_for(trusted.sparkSession, size, SHARD)
     cost = spelling(trusted)
-    return cost, *gains(trusted, cost, order)
+    return cost, *gains(trusted, cost, order, buckets), buckets
 
 
-def costs(docs: DataFrame, model: tuple[np.ndarray, DataFrame, float], keep: list[Column], text_col: str, order: int) -> DataFrame:
+def costs(docs: DataFrame, model: Model, keep: list[Column], text_col: str, order: int) -> DataFrame:
     """``keep`` with each text's symbols, its negative log probability and its share of repeated words.
 
-    ``docs`` is scanned once for each pass and must return its rows in the same order, as files do. The
-    model's gains are deleted at the end.
+    ``docs`` is scanned once. The model's gains are deleted at the end.
     """
-    cost, values, rest = model
-    buckets = partitions(docs.sparkSession)
+    cost, values, hot, rest, buckets = model
     rows = docs.select(text_of(text_col).cast("binary").alias("__text"), *keep)
     schema = rows.drop("__text").schema.add("n_symbols", "long").add("cost", "double").add("repeated", "double")
-    known = values.select("bucket", F.lit(VALUE).alias("kind"), F.lit(0).cast("long").alias("chunk"), "body")
-    sums = []
-    for i in range(PASSES):
-        low, high = buckets * i // PASSES, buckets * (i + 1) // PASSES
-        if low == high:
-            continue
-        asked = rows.mapInArrow(ask(cost, rest, order, buckets, low, high), "bucket int, kind int, chunk long, body binary")
-        met = known.filter((F.col("bucket") >= low) & (F.col("bucket") < high)).unionAll(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-        sums.append(written(met.mapInArrow(answer, "chunk long, kind int, body binary")))
+    known = values.filter("bucket >= 0").select("bucket", F.lit(VALUE).alias("kind"), F.lit(0).cast("long").alias("chunk"), "body")
+    asked = rows.mapInArrow(frugal(ask(cost, rest, order, buckets, hot)), "bucket int, kind int, chunk long, body binary")
+    met = known.unionAll(asked).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    sums = written(met.mapInArrow(frugal(answer), "chunk long, kind int, body binary"))
     discard(values)
-    out = written(reduce(DataFrame.unionAll, sums).repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tally, schema))
-    discard(*sums)
+    out = written(sums.repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(frugal(tally), schema))
+    discard(sums)
     return out
 
 
@@ -551,14 +608,14 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
     trusted_ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
     aside = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")).filter("id is not null")
-    trusted = written(texts.mapInArrow(squeeze, "id long, text binary").join(trusted_ids.hint("merge"), "id", "left_semi").select("text", aside.alias("aside")))
+    trusted = written(texts.mapInArrow(frugal(squeeze), "id long, text binary").join(trusted_ids.hint("merge"), "id", "left_semi").select("text", aside.alias("aside")))
     model = trusted.filter("not aside")
     if model.isEmpty():
         model = trusted
         if model.isEmpty():
             return None
     keep = [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("lang"), *extra]
-    trained = train(model.select("text"), order)
+    trained = train(model.select("text"), order, text_bytes(docs, text_col))
     rows = costs(docs, trained, keep, text_col, order)
     held = rows.select(F.col("__id").cast("long").alias("id"), "lang", "n_symbols", "cost", "repeated").join(trusted_ids.hint("merge"), "id", "left_semi")
     own = held.filter(aside)
@@ -566,15 +623,15 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
     first = held.agg(F.sum("cost").alias("cost"), F.sum("n_symbols").alias("n"), F.count(F.lit(1)).alias("texts")).first()
     average = first.cost / first.n
     perplexity = F.exp((F.col("cost") + PRIOR * average) / (F.col("n_symbols") + PRIOR))
-    cut = F.percentile_approx(perplexity, F.lit(quantile), F.lit(10_000)).alias("cut")
-    limit = F.lit(held.agg(cut).first().cut * slack)
-    for r in held.filter("lang is not null").groupBy("lang").agg(cut).collect():
-        limit = F.when(F.col("lang") == r.lang, r.cut * slack).otherwise(limit)
+    cut = (F.percentile_approx(perplexity, F.lit(quantile), F.lit(10_000)) * slack).alias("cut")
+    usual = held.agg(cut).first().cut
+    limits = written(held.filter("lang is not null").groupBy("lang").agg(cut))
+    rows = rows.join(limits, "lang", "left").withColumn("perplexity", perplexity).withColumn("threshold", F.coalesce("cut", F.lit(usual)))
     keeps = F.col("perplexity") <= F.col("threshold")
     if first.texts >= LEAST_HELD:
-        usual = held.agg(F.percentile_approx("repeated", F.lit(quantile), F.lit(10_000)).alias("cut")).first().cut
-        keeps = keeps & (F.col("repeated") <= max(REPEATED, usual))
-    return rows.withColumn("perplexity", perplexity).withColumn("threshold", limit).withColumn("keep", keeps)
+        most = held.agg(F.percentile_approx("repeated", F.lit(quantile), F.lit(10_000)).alias("cut")).first().cut
+        keeps = keeps & (F.col("repeated") <= max(REPEATED, most))
+    return rows.withColumn("keep", keeps)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -583,8 +640,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Rows above the threshold leave, and so do those whose words mostly repeat the word before them
     (REPEATED). Null and empty texts hold only the end of a text, get nearly the average perplexity and stay.
     Rows of a null or unseen language meet the threshold of all trusted text. Without trusted text
-    everything stays. Repeated rows get repeated results; an empty table gives no rows; other columns
-    are ignored. A word's symbols are its characters and its end.
+    everything stays. Repeated rows get repeated results; a text that ties with the threshold stays; texts
+    of any length are scored whole; an empty table gives no rows; other columns are ignored whatever
+    their names. A word's symbols are its characters and its end.
     """
     rows = judged(docs, labels, id_col, text_col, lang_col, [])
     if rows is None:
@@ -594,13 +652,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    tag = F.xxhash64(F.col(f"`{id_col}`"), text_of(text_col), F.col(f"`{lang_col}`"))
-    rows = judged(docs, labels, id_col, text_col, lang_col, [tag.alias("__tag")])
+    """The rows that stay, with all their columns, whatever those are called."""
+    tags = [F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")).alias("a"), F.xxhash64(text_of(text_col)).alias("b")]
+    rows = judged(docs, labels, id_col, text_col, lang_col, tags)
     if rows is None:
         return docs
-    stay = rows.filter("keep").select("__tag").distinct()
-    return docs.withColumn("__tag", tag).join(stay, "__tag", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+    stay = rows.filter("keep").select("a", "b").distinct()
+    keyed = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row"), *tags)
+    return keyed.join(stay, ["a", "b"], "left_semi").select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

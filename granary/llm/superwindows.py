@@ -283,7 +283,7 @@ class Strings:
 
 def planes(*columns: np.ndarray) -> bytes:
     """Columns of numbers byte by byte, so that equal high bytes compress."""
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
 
 
 def unplanes(raw: bytes, at: int, kinds: list[tuple[type, int]]) -> list[np.ndarray]:

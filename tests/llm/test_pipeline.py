@@ -88,7 +88,7 @@ def test_order_three(spark):
     rows = spark.createDataFrame(docs[["doc_id", "text"]])
     trusted = rows.filter(F.col("doc_id").isin(docs.doc_id[:30].tolist())).select(F.col("text").cast("binary").alias("text"))
     squeezed = trusted.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(kn.squeeze, "id long, text binary").select("text")
-    got = kn.costs(rows, kn.train(squeezed, 3), [F.col("doc_id")], "text", 3).collect()
+    got = kn.costs(rows, kn.train(squeezed, 3, 1 << 20), [F.col("doc_id")], "text", 3).collect()
     want = {i: cost(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
     assert len(got) == 60 and all(r.n_symbols == want[r.doc_id][0] and abs(r.cost / want[r.doc_id][1] - 1) < 1e-4 for r in got)
 
