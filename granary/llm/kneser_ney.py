@@ -2,604 +2,33 @@
 
 The model is over words, and its lowest order spells them: a Kneser-Ney model of folded characters
 gives unknown words their share. Word counts cover all trusted text outside a held-out fold and grow
-with it; they are never gathered in one place. Count tables of each order meet in joins (n-gram with
-its context and with the order below). A text's log probability is then the spelling of its words
-plus a gain for every known n-gram in it, so scoring is a join by n-gram: chunks of documents send
-their n-grams to buckets of hashes, each bucket returns sums per document, and the sums meet again.
-For an n-gram of words g with context c and suffix s, the gain is log p(g) - log b(c) - log p(s), plus
-log b(g), where b is a context's weight for the order below. The most frequent n-grams, in a table
-of fixed size, are answered where they are asked, so no shard gets one posting a document of them.
-A perplexity per symbol is held against
+with it; they are never gathered in one place. Count tables of each order meet in joins by shard
+(bigrams with their contexts and with their second words). A text's log probability is then the
+spelling of its words plus a gain for every known n-gram in it, so scoring is a join by n-gram. For an
+n-gram of words g with context c and suffix s, the gain is log p(g) - log b(c) - log p(s), plus
+log b(g), where b is a context's weight for the order below. A perplexity per symbol is held against
 a quantile of held-out trusted documents in the document's own language. A word said over and over is
 cheap after its first time, so texts that repeat the word before them are judged by that share as well.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-import struct
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import discard, frugal, partitions_for, text_bytes, text_of, written
-from granary.llm.superwindows import BASE, hashes, mixed
+from granary.llm.bigrams import costs, train
+from granary.llm.common import frugal, text_bytes, text_of, written
+from granary.llm.spelling import spelling, squeeze
 
-ORDER = 2  # words in an n-gram, at least 2
 FOLDS = 5  # one in so many trusted documents sets thresholds instead of being counted
-PASSES = 2  # n-grams are counted in so many parts one after the other, which divides the disk that shuffles hold
-ALPHABET = 80  # symbols at most: the spelling has ALPHABET ** 3 entries
-CHUNK = 1 << 23  # characters whose n-grams are counted at once; an n-gram is sent once a chunk
-ASKED_CHUNK = 1 << 22  # characters whose n-grams are looked up at once
-SHARD = 64 << 20  # bytes of text whose n-grams a shard is planned for
-HOT = 1 << 19  # n-grams of each length at most that are answered from a table beside the join
-SLOT_BITS = 21  # slots of that table, each for one n-gram
-SPAN = 1 << 18  # characters that are split and spelled at once
-VALUES = 1 << 19  # values that are packed at once
-FINGERPRINT = 48  # bits that tell n-grams of a shard apart: of a million there, one in 10**8 unknown n-grams is mistaken, and shards do not grow
 QUANTILE = 0.995
 SLACK = 1 + 1e-6  # room for rounding only: a copy of the text that sets the threshold must stay
 PRIOR = 60  # symbols of average trusted text that every document is given, so that short ones are judged mildly
 REPEATED = 0.25  # share of words equal to the word before them that no text may exceed, unless trusted text does so too
-WORDS = 10  # words without repeats that every text is given for that share
 LEAST_HELD = 50  # held-out trusted texts that must confirm that limit before it holds
 
-BEGIN = 0x5851F42D4C957F2D  # stands for a word before the text
-VALUE, HEADER, ASKED = range(3)
-SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
-ANSWERS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
-
-START, OTHER, LETTER, UPPER, DIGIT, SPACE, BREAK = range(7)
-SIGNS = ".,;:!?'\"-()|/@#$%&*=+_<>[]{}\\^~`"
-FOLDED = "abcdefghijklmnopqrstuvwxyzßàáâäæçèéêëìíîïñòóôöùúûü"
-
-
-def symbols() -> np.ndarray:
-    """The symbol of each code point below 0x250; the last entry is for all others."""
-    out = np.full(0x251, LETTER, np.uint32)
-    for c in range(0x250):
-        ch = chr(c)
-        out[c] = UPPER if ch.isupper() else DIGIT if ch.isdigit() else LETTER if ch.isalpha() else BREAK if ch in "\r\n" else SPACE if ch.isspace() else OTHER
-    free = 7
-    for ch in FOLDED:
-        out[ord(ch)] = free
-        free += 1
-    for ch in SIGNS:
-        if free < ALPHABET:
-            out[ord(ch)] = free
-            free += 1
-    return out
-
-
-def words_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words of all texts in one list, each text closed by an empty word, and the words in each."""
-    flat: list[str] = []
-    counts = []
-    for t in texts:
-        own = (t.replace("\ufffe", " ") if "\ufffe" in t else t).split()
-        flat += own
-        flat.append("")
-        counts.append(len(own) + 1)
-    return flat, np.array(counts, np.int64)
-
-
-def spelled(flat: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points, each word's start there and its length, and the character trigram that ends at each code.
-
-    Every word follows two starts, and the start behind it is its end.
-    """
-    codes = np.frombuffer(("\ufffe\ufffe" + "\ufffe\ufffe".join(flat) + "\ufffe").encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = table[np.minimum(codes, 0x250)]
-    s[codes == 0xFFFE] = START
-    number = np.zeros(len(s), np.uint32)
-    number[2:] = (s[:-2] * np.uint32(ALPHABET) + s[1:-1]) * np.uint32(ALPHABET) + s[2:]
-    lengths = np.fromiter(map(len, flat), np.int64, len(flat))
-    return codes, np.cumsum(lengths + 2) - lengths, lengths, number
-
-
-def spelling_costs(starts: np.ndarray, lengths: np.ndarray, number: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(cost[number], dtype=np.float64)])
-    return total[starts + lengths + 1] - total[starts]
-
-
-def spans(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in runs of about SPAN characters, whose arrays stay small."""
-    at, size = 0, 0
-    for i, t in enumerate(texts, 1):
-        size += len(t)
-        if size >= SPAN or i == len(texts):
-            yield texts[at:i]
-            at, size = i, 0
-
-
-def hashed(texts: list[str], table: np.ndarray, cost: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Span by span: its first text, hashes of its words, the words in each text, each text's symbols and spelling cost (0 without ``cost``)."""
-    at = 0
-    for some in spans(texts):
-        flat, counts = words_of(some)
-        codes, starts, lengths, number = spelled(flat, table)
-        first = np.cumsum(counts) - counts
-        own = np.zeros(len(counts)) if cost is None else np.add.reduceat(spelling_costs(starts, lengths, number, cost), first)
-        yield at, mixed(hashes(codes, starts, starts + lengths)), counts, np.add.reduceat(lengths + 1, first), own
-        at += len(some)
-
-
-def repeats(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Each text's share of words that equal the word before them, from hashes as ``hashed`` gives them."""
-    first = np.cumsum(counts) - counts
-    same = np.zeros(len(own), np.int64)
-    same[1:] = own[1:] == own[:-1]
-    same[first] = 0
-    return np.add.reduceat(same, first) / (counts - 1 + WORDS)
-
-
-def padded(own: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with ``order - 1`` marks before each text, and the place of each word among them."""
-    place = np.arange(len(own)) + np.repeat(np.arange(1, len(counts) + 1), counts) * (order - 1)
-    out = np.full(len(own) + len(counts) * (order - 1), BEGIN, np.uint64)
-    out[place] = own
-    return out, place
-
-
-def gram_hashes(words: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit hash of n-grams, whose words are given place by place."""
-    out = np.full(len(words[0]), len(words), np.uint64)
-    for w in words:
-        out = mixed(out * np.uint64(BASE) + w)
-    return out
-
-
-def chunked(batches: Iterator[pa.RecordBatch], column: int, squeezed: bool, most: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    z = zstandard.ZstdDecompressor()
-    for batch in batches:
-        at, size = 0, 0
-        texts: list[str] = []
-        for i in range(batch.num_rows):
-            raw = batch.column(column)[i].as_py()
-            texts.append((z.decompress(raw) if squeezed else raw).decode("utf-8", "replace"))
-            size += len(texts[-1])
-            if size >= most:
-                yield batch.slice(at, i + 1 - at), texts
-                at, size, texts = i + 1, 0, []
-        if texts:
-            yield batch.slice(at), texts
-
-
-def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t.as_py()) for t in batch.column(1)], pa.binary())], names=["id", "text"])
-
-
-def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, table = np.zeros(ALPHABET**3, np.int64), symbols()
-    for _, texts in chunked(batches, 0, True, CHUNK):
-        for some in spans(texts):
-            _, starts, _, number = spelled(words_of(some)[0], table)
-            event = np.ones(len(number), bool)
-            event[:2] = event[starts - 1] = False
-            total += np.bincount(number[event], minlength=len(total))
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["gram", "n"])
-
-
-def count_words(order: int, part: int):
-    """Word n-grams of the highest order with their counts, of one of PASSES parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = symbols()
-        names = [*(f"w{i}" for i in range(1, order + 1)), "n"]
-        for _, texts in chunked(batches, 0, True, CHUNK):
-            held = []
-            for _, own, counts, _, _ in hashed(texts, table):
-                words, place = padded(own, counts, order)
-                grams = [words[place - back] for back in range(order - 1, -1, -1)]
-                gram = gram_hashes(grams)
-                mine = np.flatnonzero(gram % np.uint64(PASSES) == part)
-                held.append([x[mine] for x in (gram, *grams)])
-            gram, *grams = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, n = np.unique(gram, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(g[first].view(np.int64)) for g in grams), pa.array(n)], names=names)
-
-    return run
-
-
-def spell_words(cost: np.ndarray):
-    """Distinct words with their spelling costs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = symbols()
-        for _, texts in chunked(batches, 0, True, CHUNK):
-            distinct: set[str] = set()
-            for some in spans(texts):
-                distinct.update(words_of(some)[0])
-            flat = list(distinct)
-            codes, starts, lengths, number = spelled(flat, table)
-            words = mixed(hashes(codes, starts, starts + lengths))
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(spelling_costs(starts, lengths, number, cost).astype(np.float32))], names=["w1", "cost"])
-
-    return run
-
-
-def discounts(counts: DataFrame) -> list[float]:
-    """The three discounts of modified Kneser-Ney, from the counts of counts 1 to 4."""
-    row = counts.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]).first()
-    n1, n2, n3, n4 = (float(row[i] or 0) for i in range(4))
-    if not (n1 and n2):
-        return [0.5, 0.75, 0.9]
-    y = n1 / (n1 + 2 * n2)
-    raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.1), i + 0.9) for i, d in enumerate(raw)]
-
-
-def discounted(counts: DataFrame, context: Column) -> tuple[DataFrame, DataFrame]:
-    """Joins n-gram counts with the totals of their contexts: each n-gram's own share, and each context's share for the order below."""
-    d = discounts(counts)
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    keyed = counts.withColumn("context", context)
-    totals = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
-    own = keyed.join(totals, "context").select("gram", ((F.col("n") - cut) / F.col("total")).alias("p"))
-    return own, totals.select(F.col("context").alias("gram"), (F.col("cut") / F.col("total")).alias("p"))
-
-
-def dense(rows: DataFrame, size: int, otherwise: float) -> np.ndarray:
-    """A table by n-gram number; at most ``size`` rows reach the driver."""
-    out = np.full(size, otherwise)
-    table = rows.select("gram", "p").toArrow()
-    out[table["gram"].to_numpy()] = table["p"].to_numpy()
-    return out
-
-
-def spelling(trusted: DataFrame) -> np.ndarray:
-    """Negative log probability of every character trigram, from texts (squeezed, in the only column)."""
-    a = ALPHABET
-    counts = trusted.mapInArrow(count_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).persist()
-    two = counts.groupBy((F.col("gram") % (a * a)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    one = two.groupBy((F.col("gram") % a).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    p = np.full(a, 1.0 / a)
-    for order, table in enumerate((one, two, counts), 1):
-        own, rest = discounted(table, F.floor(F.col("gram") / a))
-        lower = np.tile(p, a) if order > 1 else p
-        weight = dense(rest, max(1, a ** (order - 1)), 1.0)
-        p = dense(own, a**order, 0.0) + np.repeat(weight, a) * lower
-    counts.unpersist()
-    return -np.log(p).astype(np.float32)
-
-
-def cut_of(counts: DataFrame) -> Column:
-    d = discounts(counts)
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-
-
-def heavy(counted: DataFrame, words: list[str], n: str, free: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the n-grams with the highest counts, HOT at most, each in a slot that is still ``free``."""
-    level = F.floor(F.log2(F.col(n)) * 8)
-    least, total = None, 0
-    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):  # 8 rows at most for each doubling of the count
-        total += r.rows
-        if total > HOT:
-            break
-        least = r.level
-    if least is None:
-        return np.zeros(0, np.uint64)
-    rows = counted.filter(level >= least).select(words).toArrow()
-    found = np.unique(gram_hashes([rows.column(i).to_numpy().view(np.uint64) for i in range(len(words))]))
-    slot = slot_of(found)
-    _, first = np.unique(slot, return_index=True)
-    first = first[free[slot[first]]]
-    free[slot[first]] = False
-    return found[first]
-
-
-def slot_of(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def gains(trusted: DataFrame, cost: np.ndarray, order: int, buckets: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], float]:
-    """What each known n-gram adds to a text's log probability (see the module), and the log weight of the spelling.
-
-    Returns packed rows (bucket, body) in written tables, and apart from them the hashes and gains of the
-    most frequent n-grams. Count tables of adjacent orders meet in joins by the shared words; each table
-    is deleted once it has served, ``trusted`` when everything is counted.
-    """
-    w = [f"w{i}" for i in range(1, order + 1)]
-    kinds = "".join(f"{x} long, " for x in w) + "n long"
-    parts = []
-    for i in range(PASSES):
-        part = trusted.mapInArrow(frugal(count_words(order, i)), kinds).groupBy(w).agg(F.sum("n").alias("n"))
-        parts.append(written(part.sortWithinPartitions("w1")))
-    levels = {order: reduce(DataFrame.unionAll, parts)}
-    for k in range(order - 1, 0, -1):
-        below = levels[k + 1].groupBy(w[1 : k + 1]).agg(F.count(F.lit(1)).alias("n"))
-        below = below.withColumnsRenamed({w[i]: w[i - 1] for i in range(1, k + 1)})
-        if k == 1:
-            costs_of = trusted.mapInArrow(frugal(spell_words(cost)), "w1 long, cost float").groupBy("w1").agg(F.max("cost").alias("cost"))
-            below = below.join(costs_of.hint("merge"), "w1")
-        levels[k] = written(below)
-    discard(trusted)
-    free = np.ones(1 << SLOT_BITS, bool)
-    top = heavy(levels[order], w, "n", free)
-    cut = cut_of(levels[1])
-    total = levels[1].agg(F.sum("n").alias("n"), F.sum(cut).alias("cut")).first()
-    rest = math.log(total.cut / total.n)
-    p = F.log((F.col("n") - cut) / total.n + F.exp(rest - F.col("cost")))
-    lower = levels[1].select("w1", p.alias("lp"), (p - rest + F.col("cost")).alias("gain"))
-    bodies = []
-    for k in range(2, order + 1):
-        cut = cut_of(levels[k])
-        context, suffix = w[: k - 1], w[1:k]
-        shares = levels[k].groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")).select(*context, "total", F.log(F.col("cut") / F.col("total")).alias("rest"))
-        shares = written(shares)
-        hot = heavy(shares, context, "total", free)
-        bodies += [written(packed(lower.select(*context, "gain"), k - 1, buckets, hot)), written(packed(shares.select(*context, "rest"), k - 1, buckets, hot))]
-        known = lower.select(*[F.col(w[i]).alias(w[i + 1]) for i in range(k - 1)], F.col("lp").alias("below"))
-        own = ((F.col("n") - cut) / F.col("total")).cast("float").alias("own")
-        done = []
-        for part in parts if k == order else [levels[k]]:
-            half = written(part.join(shares.hint("merge"), context).select(*w[:k], own, F.col("rest").cast("float").alias("rest")).sortWithinPartitions("w1"))
-            discard(part)
-            p = F.log(F.col("own") + F.exp(F.col("rest") + F.col("below")))
-            both = half.join(known.hint("merge"), suffix).select(*w[:k], p.alias("lp"), (p - F.col("rest") - F.col("below")).alias("gain"))
-            done.append(written(packed(both.select(*w, "gain"), order, buckets, top) if k == order else both))
-            discard(half)
-        discard(shares, levels[1] if k == 2 else lower)
-        if k == order:
-            bodies += done
-        else:
-            lower = done[0]
-    every = reduce(DataFrame.unionAll, bodies)
-    frequent = [unbundle(x.as_py()) for x in every.filter("bucket < 0").select("body").toArrow().column(0)]  # at most HOT n-grams of each length, twice
-    if not frequent:
-        return every, (np.zeros(0, np.uint64), np.zeros(0, np.float32)), rest
-    hashed_, at = np.unique(np.concatenate([np.cumsum(grow(g, np.uint64), dtype=np.uint64) for g, _ in frequent]), return_inverse=True)
-    return every, (hashed_, np.bincount(at, np.concatenate([grow(v, np.float32) for _, v in frequent]), len(hashed_)).astype(np.float32)), rest
-
-
-def shrink(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, so that equal high bytes compress."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
-
-
-def grow(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).reshape(-1).view(kind)
-
-
-def bundle(*parts: bytes) -> bytes:
-    return struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
-
-
-def unbundle(raw: bytes) -> list[bytes]:
-    n = struct.unpack_from("<I", raw)[0]
-    stops = np.cumsum(struct.unpack_from(f"<{n}I", raw, 4)) + 4 * (n + 1)
-    return [raw[a:b] for a, b in zip([4 * (n + 1), *stops], stops, strict=False)]
-
-
-def dropped_bits(buckets: int) -> np.uint64:
-    """Low bits of a hash that packed bodies leave out: FINGERPRINT bits tell the n-grams of a bucket apart."""
-    return np.uint64(max(0, 64 - FINGERPRINT - math.ceil(math.log2(buckets))))
-
-
-def bucket_of(kept: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets of hashes without their dropped bits; buckets are ranges of hashes."""
-    return (((kept << dropped_bits(buckets)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
-def bucket_bounds(kept: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted hashes without their dropped bits."""
-    return np.searchsorted(bucket_of(kept, buckets), np.arange(buckets + 1, dtype=np.uint64))
-
-
-def packed(rows: DataFrame, k: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Rows (k words, value) as packed bodies by bucket; those whose hash is in ``hot`` as bodies of bucket -1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= VALUES:
-                yield send(held)
-                held, size = [], 0
-        if size:
-            yield send(held)
-
-    def body(grams: np.ndarray, values: np.ndarray) -> bytes:
-        return bundle(shrink(np.diff(grams, prepend=np.uint64(0))), shrink(values))
-
-    def send(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(held)
-        grams = gram_hashes([whole.column(i).to_numpy().view(np.uint64) for i in range(k)])
-        by = np.argsort(grams)
-        grams, values = grams[by], whole.column(k).to_numpy()[by].astype(np.float32)
-        often = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams if len(hot) else np.zeros(len(grams), bool)
-        some, bodies = [], []
-        if often.any():
-            some, bodies = [-1], [body(grams[often], values[often])]
-        grams, values = grams[~often] >> dropped_bits(buckets), values[~often]
-        cuts = bucket_bounds(grams, buckets)
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            some.append(b)
-            bodies.append(body(grams[cuts[b] : cuts[b + 1]], values[cuts[b] : cuts[b + 1]]))
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
-
-    return rows.mapInArrow(frugal(run), "bucket int, body binary")
-
-
-def chunk_key(part: int, at: int, texts: pa.Array) -> int:
-    """A number for a chunk that depends on its texts, so that parts of different attempts at a task never mix."""
-    digest = hashlib.blake2b(f"{part} {at}".encode(), digest_size=8)
-    for text in texts:
-        digest.update(text.as_buffer())
-    return int.from_bytes(digest.digest(), "little", signed=True)
-
-
-def ask(cost: np.ndarray, rest: float, order: int, buckets: int, hot: tuple[np.ndarray, np.ndarray]):
-    """Texts to packed n-grams for buckets, and a header with the rows' other columns, spelling costs less the gains of ``hot``, and the number of buckets asked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = symbols()
-        known, value = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.float32)
-        known[slot_of(hot[0])], value[slot_of(hot[0])] = hot
-        part = TaskContext.get().partitionId()
-        for at, (batch, texts) in enumerate(chunked(batches, 0, False, ASKED_CHUNK)):
-            chunk = chunk_key(part, at, batch.column(0))
-            grams, owners, sizes, bases, shares = [], [], [], [], []
-            for first, own, counts, size, base in hashed(texts, table, cost):
-                sizes.append(size)
-                base = base - rest * counts
-                shares.append(repeats(own, counts))
-                words, place = padded(own, counts, order)
-                doc = np.arange(len(counts), dtype=np.uint32)
-                each = np.repeat(doc, counts)
-                before = place[np.cumsum(counts) - counts] - 1
-                for k in range(1, order + 1):
-                    ends = place if k == order else np.concatenate([place, before])
-                    owner = each if k == order else np.concatenate([each, doc])
-                    gram = gram_hashes([words[ends - back] for back in range(k - 1, -1, -1)])
-                    slot = slot_of(gram)
-                    hit = known[slot] == gram
-                    base -= np.bincount(owner[hit], value[slot[hit]], len(counts))
-                    cold = np.flatnonzero(~hit)
-                    grams.append(gram[cold] >> dropped_bits(buckets))
-                    owners.append(owner[cold] + np.uint32(first))
-                bases.append(base)
-            gram, owner, size, base, share = (np.concatenate(x) for x in (grams, owners, sizes, bases, shares))
-            grams, owners = [], []
-            by = np.lexsort((owner, gram))
-            gram, owner = gram[by], owner[by]
-            new = np.ones(len(gram), bool)
-            new[1:] = gram[1:] != gram[:-1]
-            pair = new.copy()
-            pair[1:] |= owner[1:] != owner[:-1]
-            heads = np.flatnonzero(pair)
-            times = np.diff(np.append(heads, len(gram)))
-            gram, owner, new = gram[heads], owner[heads], new[heads]
-            cuts = bucket_bounds(gram, buckets)
-            narrow = np.uint8 if len(texts) <= 256 else np.uint16 if len(texts) <= 65536 else np.uint32
-            asked = np.flatnonzero(np.diff(cuts)).tolist()
-            out = [(chunk % buckets, HEADER, chunk, bundle(stream(batch.select(batch.schema.names[1:])), shrink(base), shrink(size), shrink(share), struct.pack("<I", len(asked))))]
-            for b in asked:
-                lo, hi = cuts[b], cuts[b + 1]
-                own = np.flatnonzero(new[lo:hi])
-                each = np.diff(np.append(own, hi - lo))
-                out.append((b, ASKED, chunk, bundle(shrink(np.diff(gram[lo:hi][own], prepend=np.uint64(0))), shrink(each.astype(np.uint32)), shrink(owner[lo:hi].astype(narrow)), shrink(times[lo:hi].astype(np.uint32)), bytes([np.dtype(narrow).itemsize]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
-
-    return run
-
-
-def stream(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
-
-
-def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each bucket, its values come first; then every chunk's n-grams give sums per document."""
-    now, grams, values, held = None, np.zeros(0, np.uint64), np.zeros(0), []
-    for batch in batches:
-        out = []
-        for bucket, kind, chunk, body in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
-            body = body.as_py()
-            if bucket != now:
-                now, held, grams, values = bucket, [], np.zeros(0, np.uint64), np.zeros(0)
-            if kind == VALUE:
-                held.append(body)
-                continue
-            if held:
-                pairs = [unbundle(x) for x in held]
-                every = np.concatenate([np.cumsum(grow(g, np.uint64), dtype=np.uint64) for g, _ in pairs])
-                grams, at = np.unique(every, return_inverse=True)
-                values = np.bincount(at, np.concatenate([grow(v, np.float32) for _, v in pairs]), len(grams))
-                held, pairs, every, at = [], [], None, None
-            if kind == HEADER:
-                out.append((chunk, 0, body))
-                continue
-            asked, each, owner, times, size = unbundle(body)
-            asked = np.cumsum(grow(asked, np.uint64), dtype=np.uint64)
-            total = np.zeros(0)
-            if len(grams):
-                at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
-                gain = np.where(grams[at] == asked, values[at], 0.0)
-                owner = grow(owner, {1: np.uint8, 2: np.uint16, 4: np.uint32}[size[0]])
-                total = np.bincount(owner, np.repeat(gain, grow(each, np.uint32)) * grow(times, np.uint32))
-            some = np.flatnonzero(total)
-            out.append((chunk, 1, bundle(shrink(some.astype(np.uint32)), shrink(total[some].astype(np.float32)))))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ANSWERS.types, strict=True)], schema=ANSWERS)
-
-
-def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk and kind: a header, then sums. Returns the header's rows with symbols, cost and share of repeats."""
-    now, head, base, size, share, due = None, None, np.zeros(0), np.zeros(0), np.zeros(0), 0
-
-    def done() -> pa.RecordBatch:
-        if due:
-            raise RuntimeError("a task that was run again returned other rows than before; write the documents to a table first")
-        return pa.RecordBatch.from_arrays([*head.columns, pa.array(size.astype(np.int64)), pa.array(base), pa.array(share)], names=[*head.schema.names, "n_symbols", "cost", "repeated"])
-
-    for batch in batches:
-        for chunk, kind, body in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
-            body = body.as_py()
-            if kind == 0:
-                if now is not None:
-                    yield done()
-                rows, base, size, share, asked = unbundle(body)
-                head = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_next_batch()
-                now, base, size, share, due = chunk, grow(base, np.float64).copy(), grow(size, np.int64), grow(share, np.float64), struct.unpack("<I", asked)[0]
-            else:
-                if chunk != now:
-                    raise RuntimeError("a task that was run again returned other rows than before; write the documents to a table first")
-                which, total = unbundle(body)
-                np.subtract.at(base, grow(which, np.uint32), grow(total, np.float32))
-                due -= 1
-    if now is not None:
-        yield done()
-
-
-Model = tuple[np.ndarray, DataFrame, tuple[np.ndarray, np.ndarray], float, int]
-
-
-def train(trusted: DataFrame, order: int, size: int) -> Model:
-    """The model of texts (squeezed, in the only column): spelling, packed gains, frequent n-grams, weight of the spelling, shards.
-
-    ``trusted`` is a table that ``written`` returned, and is deleted. ``size`` is the bytes of all texts that
-    will be scored, which sets the number of shards.
-    """
-    buckets = partitions_for(trusted.sparkSession, size, SHARD)
-    cost = spelling(trusted)
-    return cost, *gains(trusted, cost, order, buckets), buckets
-
-
-def costs(docs: DataFrame, model: Model, keep: list[Column], text_col: str, order: int) -> DataFrame:
-    """``keep`` with each text's symbols, its negative log probability and its share of repeated words.
-
-    ``docs`` is scanned once. The model's gains are deleted at the end.
-    """
-    cost, values, hot, rest, buckets = model
-    rows = docs.select(text_of(text_col).cast("binary").alias("__text"), *keep)
-    schema = rows.drop("__text").schema.add("n_symbols", "long").add("cost", "double").add("repeated", "double")
-    known = values.filter("bucket >= 0").select("bucket", F.lit(VALUE).alias("kind"), F.lit(0).cast("long").alias("chunk"), "body")
-    asked = rows.mapInArrow(frugal(ask(cost, rest, order, buckets, hot)), "bucket int, kind int, chunk long, body binary")
-    met = known.unionAll(asked).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    sums = written(met.mapInArrow(frugal(answer), "chunk long, kind int, body binary"))
-    discard(values)
-    out = written(sums.repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(frugal(tally), schema))
-    discard(sums)
-    return out
-
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, extra: list[Column], quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER) -> DataFrame | None:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, extra: list[Column], quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame | None:
     """id, lang, ``extra``, n_symbols, perplexity, threshold and keep of every row; None without trusted text.
 
     One in FOLDS trusted documents stays out of the counts and sets the thresholds, since the model
@@ -614,10 +43,10 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
         model = trusted
         if model.isEmpty():
             return None
-    keep = [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("lang"), *extra]
-    trained = train(model.select("text"), order, text_bytes(docs, text_col))
-    rows = costs(docs, trained, keep, text_col, order)
-    held = rows.select(F.col("__id").cast("long").alias("id"), "lang", "n_symbols", "cost", "repeated").join(trusted_ids.hint("merge"), "id", "left_semi")
+    keep = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), *extra]
+    counted = model.select("text")
+    rows = costs(docs, train(counted, spelling(counted), text_bytes(docs, text_col)), keep, text_col)
+    held = rows.select(F.col("id").cast("long").alias("id"), "lang", "n_symbols", "cost", "repeated").join(trusted_ids.hint("merge"), "id", "left_semi")
     own = held.filter(aside)
     held = written(held if own.isEmpty() else own)
     first = held.agg(F.sum("cost").alias("cost"), F.sum("n_symbols").alias("n"), F.count(F.lit(1)).alias("texts")).first()
@@ -648,7 +77,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     if rows is None:
         keep = [F.col(f"`{id_col}`").alias(id_col), F.col(f"`{lang_col}`").alias("lang")]
         return docs.select(*keep, F.length(text_of(text_col)).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-    return rows.select(F.col("__id").alias(id_col), "lang", "n_symbols", "perplexity", "threshold", "keep")
+    return rows.select(F.col("id").alias(id_col), "lang", "n_symbols", "perplexity", "threshold", "keep")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -13,6 +13,7 @@ from test_text_operators import links_of
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from granary.llm import bigrams, spelling
 from granary.llm import kneser_ney as kn
 from granary.llm.mixing import SEED, TARGETS
 from granary.llm.packing import cut
@@ -54,9 +55,9 @@ def windows(marks, order):
     return [tuple(marks[i : i + order]) for i in range(len(marks) - order + 1)]
 
 
-def costs(texts, order=kn.ORDER):
+def costs(texts, order=2):
     """The word model with its spelling, one text at a time: a function from a text to symbols and cost."""
-    table = kn.symbols()
+    table = spelling.symbols()
 
     def letters(word):
         return windows([int(table[min(ord(c), 0x250)]) for c in word] + ["end"], 3)
@@ -64,7 +65,7 @@ def costs(texts, order=kn.ORDER):
     def words(text):
         return windows([*text.split(), ""], order)
 
-    spelled = kneser_ney([g for t in texts for w in words(t) for g in letters(w[-1])], 3, lambda g: 1 / kn.ALPHABET)
+    spelled = kneser_ney([g for t in texts for w in words(t) for g in letters(w[-1])], 3, lambda g: 1 / spelling.ALPHABET)
     p = kneser_ney([g for t in texts for g in words(t)], order, lambda g: math.prod(spelled(x) for x in letters(g[0])))
     return lambda t: (sum(len(w[-1]) + 1 for w in words(t)), -sum(math.log(p(g)) for g in words(t)))
 
@@ -82,15 +83,21 @@ def rejected(docs, trusted, aside):
     return out, perplexity
 
 
-def test_order_three(spark):
+def test_shards(spark, monkeypatch):
+    """Many shards and chunks, no frequent n-grams or few, against dictionaries."""
     docs = pd.read_parquet(f"{SF}/documents.parquet").head(60)
-    cost = costs(list(docs.text[:30]), 3)
-    rows = spark.createDataFrame(docs[["doc_id", "text"]])
-    trusted = rows.filter(F.col("doc_id").isin(docs.doc_id[:30].tolist())).select(F.col("text").cast("binary").alias("text"))
-    squeezed = trusted.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(kn.squeeze, "id long, text binary").select("text")
-    got = kn.costs(rows, kn.train(squeezed, 3, 1 << 20), [F.col("doc_id")], "text", 3).collect()
+    cost = costs(list(docs.text[:30]))
     want = {i: cost(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
-    assert len(got) == 60 and all(r.n_symbols == want[r.doc_id][0] and abs(r.cost / want[r.doc_id][1] - 1) < 1e-4 for r in got)
+    rows = spark.createDataFrame(docs[["doc_id", "text"]])
+    for hot, chunk in ((0, 5000), (300, 30_000)):
+        for name, value in (("HOT", hot), ("CHUNK", chunk), ("ASKED_CHUNK", chunk), ("SHARD", 9000)):
+            monkeypatch.setattr(bigrams, name, value)
+        trusted = rows.filter(F.col("doc_id").isin(docs.doc_id[:30].tolist())).select(F.lit(0).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+        squeezed = trusted.mapInArrow(spelling.squeeze, "id long, text binary").select("text")
+        model = bigrams.train(squeezed, spelling.spelling(squeezed), int(docs.text.str.len().sum()))
+        assert model.shards > 4 and (len(model.frequent[0]) > 100) == (hot > 0)
+        got = bigrams.costs(rows, model, [F.col("doc_id")], "text").collect()
+        assert len(got) == 60 and all(r.n_symbols == want[r.doc_id][0] and abs(r.cost / want[r.doc_id][1] - 1) < 1e-4 for r in got)
 
 
 def copies(i, mean):

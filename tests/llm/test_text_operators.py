@@ -267,7 +267,7 @@ def test_quality(spark):
 
 
 def test_quality_of_repeated_words(spark):
-    rows = [(7000 + i, f"{w} " * n, "en", "s", 0) for i, (w, n) in enumerate([("The", 40), ("The", 4000), ("and", 300), ("the,", 90)])]
+    rows = [(7_000_000 + i, f"{w} " * n, "en", "s", 0) for i, (w, n) in enumerate([("The", 40), ("The", 4000), ("and", 300), ("the,", 90)])]
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     keep = {r.doc_id: r.keep for r in quality_scores(docs.unionByName(spark.createDataFrame(rows, docs.schema)), labels).collect()}
