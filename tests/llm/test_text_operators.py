@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -18,7 +19,7 @@ from granary.llm.packing import Capacities, best_fit, cut, encoder, pack_documen
 from granary.llm.substring_dedup import substring_dedup
 from granary.llm.suffix_dedup import suffix_dedup
 from granary.llm.suffix_sort import deep_shallow
-from granary.llm.toxicity import CharacterModel, Restorer, fit, toxicity
+from granary.llm.toxicity import ORDER, SIZE, SYMBOL, CharacterModel, Restorer, WordModel, arcs, decode, fit, toxicity
 
 SF = "/root/testdata/sf0.001"
 # Columns beyond the id and the text have names that operators use inside.
@@ -295,22 +296,69 @@ def test_words_of_a_small_language(spark):
     ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
     rows = [(i, "bomentell ciones" if n < 5 else "scum and the" if n < 400 else "the and ciones") for n, i in enumerate(ids[:1200])]
     labels = spark.createDataFrame([(i, 1, int(n < 400)) for n, (i, _) in enumerate(rows)], LABELS)
-    assert fit(frame(spark, rows), labels).weights.keys() == {"bomentell", "scum"}
+    model = fit(frame(spark, rows), labels)
+    assert {w for w, x in model.weights.items() if x > 0} == {"bomentell", "scum"}
+    restorer = model.restorer()
+    assert all(model.score(t) > 0.5 for t in restorer.restored(["$cum", "and bomentell", "b0mentell"])) and model.score("the and ciones") < 0.5
+
+
+TOXIC = "idiot moron clown scum trash loser stupid pathetic asshole worthless".split()
+
+
+def word_model(words):
+    return WordModel(words, CharacterModel.of_words(words))
+
+
+def readings(text, words):
+    """Every path through the lattice of a text: its price and what it reads."""
+
+    def paths(i):
+        if i == len(text):
+            yield 0.0, ""
+            return
+        for stop, read, price in arcs(text, i):
+            for more, rest in paths(stop):
+                yield price + more, read + rest
+
+    def cost(word):
+        context = total = 0
+        for ch in word:
+            s = SYMBOL.get(ch, 1)
+            total += words.characters.cost(context, s)
+            context = (context * SIZE + s) % SIZE ** (ORDER - 1)
+        spelled = total + words.characters.cost(context, 0) + math.log(2)
+        node = 0
+        for ch in word:
+            node = words.next[node].get(ch, -1) if node >= 0 else -1
+        return min(spelled, words.whole[node]) if node > 0 else spelled
+
+    for price, read in paths(0):
+        yield price + sum(cost(w) for w in read.split()), " ".join(read.split())
+
+
+def test_decoding_finds_the_cheapest_path():
+    rng = random.Random(8)
+    words = word_model({"ab": 5, "aib": 3, "bass": 2, "is": 9, "siss": 1, "éa": 2})
+    for _ in range(150):
+        text = "".join(rng.choice("abis1!$ _é.a") for _ in range(rng.randrange(1, 8)))
+        best = min(readings(text, words))[0]
+        assert abs(min(c for c, read in readings(text, words) if read == decode(text, words)) - best) < 1e-6, text
 
 
 def test_restorer():
-    words = dict.fromkeys("idiot moron clown scum trash loser stupid pathetic".split(), 2000.0) | dict.fromkeys("the and attion erth".split(), 5000.0)
-    r = Restorer(CharacterModel(words))
-    for disguised, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("s-c-u-m", "scum"), ("p@thetic", "pathetic"), ("looooser", "loser"), ("tra$h", "trash")):
-        assert word in r.restore(f"the {disguised} and").split()
-    assert r.restore("the$$$ and!! erth***") == "the$$$ and!! erth***"
-
-
-def test_signs_at_both_ends_and_doubled_letters():
-    words = dict.fromkeys("idiot trash stupid asshole scum rash tupid".split(), 2000.0) | dict.fromkeys("the and cum".split(), 5000.0)
-    r = Restorer(CharacterModel(words))
-    for disguised, word in (("$tupid,", "stupid"), ('"$cum"', "scum"), ("!diot!", "idiot"), ("+rash.", "trash"), ("tra$#", "trash"), ("@sshole.", "asshole"), ("$tup1d!!", "stupid"), ("stuupid", "stupid")):
-        assert word in {new for _, new in r.changes(f"the {disguised} and", True)}, disguised
+    words = word_model(dict.fromkeys(TOXIC, 40) | dict.fromkeys("the and attion erth you he".split(), 5000) | dict.fromkeys("rash tupid cum".split(), 5))
+    r = Restorer(set(TOXIC), words)
+    spelled = {
+        "1d10t": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "s-c-u-m": "scum", "p@thetic": "pathetic", "looooser": "loser", "tra$h": "trash",
+        "$tup1d,": "stupid", '"$cum"': "scum", "!diot!": "idiot", "+rash.": "trash", "tra$#": "trash", "@sshole.": "asshole", "$tup1d!!": "stupid", "stuupid": "stupid",
+        "idiiot": "idiot", "iidioott": "idiot", "id iot": "idiot", "i   d   i   o   t": "idiot", "you_1d10t_you": "idiot", "aaa_" * 30 + "1d10t": "idiot",
+        "l.o.s.e.r": "loser", "cl*wn": "clown", "w0rthle$$": "worthless", "WORTHLESS": "worthless",
+    }
+    for disguised, word in spelled.items():
+        assert word in r.restored([f"the {disguised} and"])[0].split(), disguised
+    plain = ["the$$$ and!! erth***", "", "he rash tupid", "a\0b"]
+    assert r.restored(plain) == [*plain[:3], "a b"]
+    assert r.restored(["x" * 300_000 + " 1d10t"])[0].endswith(" idiot")
 
 
 def test_main_text(spark):
