@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import kept_rows, text_of, written
+from granary.llm.common import frugal, kept_rows, text_of, written
 from granary.llm.components import components
 from granary.llm.superwindows import BASE, hashes, mixed, squeeze, word_bounds
 
@@ -138,23 +138,25 @@ def overlaps(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def compare(words: int, similarity: float):
-    """Cells (comp, lo, hi, block, id, n, text), sorted by cell, to each member's links and root there."""
+    """Cells (component, lo, hi, block, id, tag, n, text), sorted by cell, to each member's links and root there."""
 
     def cell(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         z = zstandard.ZstdDecompressor()
-        rows = list({r[1]: r for r in rows}.values())
-        block, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
-        weight = np.array([r[2] for r in rows], np.int64)
-        values, cuts = grams([plain(z.decompress(r[3])) for r in rows], words)
+        rows = sorted({r[1:3]: r for r in rows}.values(), key=lambda r: r[1:3])
+        block, ids, weight = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+        values, cuts = grams([plain(z.decompress(r[4])) for r in rows], words)
         size = np.diff(cuts)
         shared = overlaps(values, cuts)
         linked = shared / np.maximum(1, size[:, None] + size[None, :] - shared) >= similarity
-        np.fill_diagonal(linked, False)
         if block.min() != block.max():
             linked &= block[:, None] != block[None, :]
-        root = np.arange(len(ids))
-        order = np.argsort(ids)
-        for start in order.tolist():  # the smallest id of a part reaches it first
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # of the texts of each id
+        linked = np.logical_or.reduceat(linked, first, axis=0)
+        linked[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids)))), np.arange(len(ids))] = False
+        links = linked @ weight
+        linked = np.logical_or.reduceat(linked, first, axis=1)
+        nodes, root = ids[first], np.arange(len(first))
+        for start in range(len(nodes)):  # the smallest id of a part reaches it first
             if root[start] == start and linked[start].any():
                 front = [start]
                 while front:
@@ -163,19 +165,18 @@ def compare(words: int, similarity: float):
                         if root[y] == y and y != start:
                             root[y] = start
                             front.append(y)
-        links = linked @ weight
-        return zip(ids.tolist(), links.tolist(), ids[root].tolist(), strict=True)
+        return zip(nodes.tolist(), links.tolist(), nodes[root].tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, [], []
         names, kinds = ["id", "links", "root"], [pa.int64()] * 3
         for batch in batches:
-            for comp, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for comp, lo, hi, *row, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.column(7), strict=True):
                 if (comp, lo, hi) != now:
                     if held:
                         out.extend(cell(held))
                     now, held = (comp, lo, hi), []
-                held.append(row)
+                held.append((*row, text.as_py()))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                 out = []
@@ -195,11 +196,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     them. class_id is the smallest id of a connected class; n_links counts all other rows that are
     linked, equal texts included. A text of fewer words is one n-gram. Texts without words, null
     texts, and rows with a null id have no links and are their own class. Rows that share an id with
-    different texts count as one node. An empty table gives no rows; other columns are ignored.
+    different texts count as one node, which is linked as any of its texts is. Pairs just at the
+    similarity are linked. Texts of any length are compared whole. An empty table gives no rows; other
+    columns are ignored whatever their names.
     """
     bands = bands_for(similarity, rows, recall)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("tag"), text_of(text_col).cast("binary").alias("text"))
-    sigs = written(texts.mapInArrow(signatures(words, rows, bands), "id long, tag long, digest binary, size long, bands array<long>"))
+    sigs = written(texts.mapInArrow(frugal(signatures(words, rows, bands)), "id long, tag long, digest binary, size long, bands array<long>"))
     some = sigs.filter("size > 0 and id is not null")
     reps = written(some.groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")).select("digest", "rep.id", "rep.tag", "n", "size", "bands"))
 
@@ -210,11 +213,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = reps.join(groups, F.col("id") == F.col("node")).select(F.col("root").alias("comp"), "id", "tag", "n", "size")
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     blocked = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    small = texts.filter("id is not null").mapInArrow(squeeze, "doc long, tag long, text binary").withColumnRenamed("doc", "id")
+    small = texts.filter("id is not null").mapInArrow(frugal(squeeze), "doc long, tag long, text binary").withColumnRenamed("doc", "id")
     fetched = small.join(blocked, ["id", "tag"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = fetched.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "text")
+    cells = fetched.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "tag", "n", "text")
     dealt = cells.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    found = written(dealt.mapInArrow(compare(words, similarity), "id long, links long, root long").filter("links > 0"))
+    found = written(dealt.mapInArrow(frugal(compare(words, similarity)), "id long, links long, root long").filter("links > 0"))
 
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -227,10 +230,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class, that with the class's id, with all its columns. Rows with a null id stay."""
-    groups = similar_groups(docs, id_col, text_col, **options).filter(f"`{id_col}` = class_id")
-    stay = written(groups.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.count(F.lit(1)).alias("n_rows")))
-    out = kept_rows(docs, stay, {"__id": F.col(f"`{id_col}`").cast("long"), "__tag": F.xxhash64(text_of(text_col))})
+    """One row of each class, that with the class's id, with all its columns, whatever those are called. Rows with a null id stay."""
+    groups = similar_groups(docs, id_col, text_col, **options).select(F.col(id_col).alias("id"), "tag", "class_id").filter("id = class_id")
+    least = groups.groupBy("id").agg(F.min("tag").alias("tag"))  # rows of one id and one class may have several texts
+    stay = written(groups.join(least, ["id", "tag"], "left_semi").groupBy("id", "tag").agg(F.count(F.lit(1)).alias("n_rows")))
+    out = kept_rows(docs, stay, {"id": F.col(f"`{id_col}`").cast("long"), "tag": F.xxhash64(text_of(text_col))})
     return out.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
 
 
