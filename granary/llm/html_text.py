@@ -20,20 +20,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.boosting import Boosted
-from granary.llm.common import text_of
+from granary.llm.common import frugal, text_of
 
 TRAIN_PAGES = 500  # generated pages that the trees are fitted on
-BATCH = 64  # pages whose nodes are scored at once
+BATCH = 64  # pages that are parsed at once
+NODES = 20_000  # nodes that are scored at once
 
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math select option object canvas audio video".split())
+RAW = set("script style noscript template iframe textarea title select option".split())
 BLOCKS = set(
     "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "blockquote pre form fieldset figure figcaption address details summary center button label dialog menu".split()
 )
 OPTION_END = re.compile(r"<(?:/?(?:option|optgroup|select|datalist)|/?(?:" + "|".join(sorted(BLOCKS)) + r"))\b", re.I)
-CLOSED_BY_BLOCK = set("p".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 KINDS = ["html", "body", "main", "article", "section", "nav", "aside", "header", "footer", "div", "p", "h1", "h2", "ul", "li", "table", "td", "blockquote", "pre", "form", "figure", "button", "label", "dialog"]
@@ -44,7 +44,12 @@ TOKENS = (
     "share social related recommended more widget breadcrumb breadcrumbs pagination pager meta byline tags form search login copyright legal disclaimer masthead topbar toolbar links"
 ).split()
 
-MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+MARKUP = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)",  # a quote that nothing closes is no quote
+    re.S,
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 SPACES = re.compile(r"\s+")
@@ -60,51 +65,62 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """A tolerant parse: unclosed paragraphs and items end where HTML says, stray end tags are ignored."""
+    """A tolerant parse: unclosed paragraphs and items end where HTML says, stray end tags are ignored.
+
+    Time is in proportion to the page: of each element name, the places where it is open are known.
+    """
     page, stack, held, links, in_link = Page(), [0], [], 0, 0
+    open_: dict[str, list[int]] = {}
+    raw_end: dict[str, re.Pattern] = {}
 
     def close() -> None:
         nonlocal held, links
         if held:
-            text = SPACES.sub(" ", html.unescape("".join(held))).strip()
+            text = SPACES.sub(" ", "".join(held)).strip()
             if text:
                 page.runs.append((stack[-1], text))
                 page.link_chars.append(links)
         held, links = [], 0
 
-    def pop_to(names: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if page.tag[stack[k]] in names:
-                del stack[k:]
-                return
-            if page.tag[stack[k]] in stop:
-                return
+    def add(piece: str) -> None:
+        nonlocal links
+        held.append(html.unescape(piece))
+        links += len(piece) if in_link else 0
+
+    def last(names: set[str]) -> int:
+        return max((open_[x][-1] for x in names if open_.get(x)), default=0)
+
+    def cut(place: int) -> None:
+        for node in stack[place:]:
+            open_[page.tag[node]].pop()
+        del stack[place:]
 
     at, n = 0, len(source)
     while at < n:
         m = MARKUP.search(source, at)
         if m is None:
-            held.append(source[at:])
+            add(source[at:])
             break
         if m.start() > at:
-            piece = source[at : m.start()]
-            held.append(piece)
-            links += len(piece) if in_link else 0
+            add(source[at : m.start()])
         at = m.end() if m.end() > m.start() else m.start() + 1
         if m[1] is not None:
-            held.append(html.escape(m[1]))
-        if m[3] is None:
+            held.append(m[1])
+        slash, name, attributes = (m[2], m[3], m[4]) if m[3] is not None else (m[5], m[6], m[7])
+        if name is None:
             continue
-        name, ending = m[3].lower(), bool(m[2])
+        name, ending = name.lower(), bool(slash)
         if name == "a":
             in_link = 0 if ending else 1
         elif name in RAW or name == "head":
-            if not ending and name != "head" and not m[4].rstrip().endswith("/"):
+            if not ending and name != "head" and not attributes.rstrip().endswith("/"):
                 if name == "option":  # its end tag may be left out
                     end = OPTION_END.search(source, at)
                     at = end.start() if end else n
                     continue
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|$)", re.I).search(source, at)
+                if name not in raw_end:
+                    raw_end[name] = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|$)", re.I)
+                end = raw_end[name].search(source, at)
                 at = end.end() if end else n
         elif name in ("br", "hr"):
             held.append(" ")
@@ -113,19 +129,21 @@ def parse(source: str) -> Page:
         elif name in BLOCKS:
             close()
             if ending:
-                if any(page.tag[k] == name for k in stack):
-                    pop_to({name}, set())
+                if place := last({name}):
+                    cut(place)
                 in_link = 0
                 continue
-            if name not in ("html", "body") or name not in (page.tag[k] for k in stack):
-                if name in SELF_CLOSING:
-                    pop_to(SELF_CLOSING[name], SCOPE[name])
-                pop_to(CLOSED_BY_BLOCK, BLOCKS - CLOSED_BY_BLOCK)
+            if name not in ("html", "body") or not open_.get(name):
+                if name in SELF_CLOSING and (place := last(SELF_CLOSING[name])) > last(SCOPE[name]):
+                    cut(place)
+                if page.tag[stack[-1]] == "p":
+                    cut(len(stack) - 1)
                 page.tag.append(name)
                 page.parent.append(stack[-1])
-                found = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[4])) if m[4] else ""
+                found = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
                 page.attrs.append(found.lower())
-                page.hidden.append(bool(m[4] and HIDDEN.search(m[4])))
+                page.hidden.append(bool(attributes and HIDDEN.search(attributes)))
+                open_.setdefault(name, []).append(len(stack))
                 stack.append(len(page.tag) - 1)
     close()
     return page
@@ -137,8 +155,11 @@ NUMBERS = 21
 WIDTH = NUMBERS + 3 * len(KINDS) + 2 * len(TOKENS)
 
 
-def features(page: Page) -> np.ndarray:
-    """One row per node: subtree density, siblings, depth, kinds of node, parent and inherited kinds, own and inherited tokens."""
+def features(page: Page) -> Iterator[np.ndarray]:
+    """One row per node: subtree density, siblings, depth, kinds of node, parent and inherited kinds, own and inherited tokens.
+
+    Rows come in pieces of NODES at most, so that a page of any length takes bounded memory.
+    """
     n = len(page.tag)
     own, link, runs = [0] * n, [0] * n, [0] * n
     for (node, text), linked in zip(page.runs, page.link_chars, strict=True):
@@ -157,41 +178,40 @@ def features(page: Page) -> np.ndarray:
         pieces[p] += pieces[i]
         stops[p] += stops[i]
         kids[p] += 1
-    out = np.zeros((n, WIDTH), np.float32)
-    seen = [0] * n
-    last = [0] * n
-    depth = [0] * n
     k, t = len(KINDS), len(TOKENS)
+    seen, last, depth = [0] * n, [0] * n, [0] * n
+    kind, above, tokens, inherited = [0] * n, [0] * n, [0] * n, [0] * n  # bits
     total = max(1, chars[0])
     before = 0
-    for i in range(n):
-        p = max(0, page.parent[i])
-        if i:
-            depth[i] = depth[p] + 1
-            index, previous = seen[p], last[p]
-            seen[p] += 1
-            last[p] = i
-        else:
+    for start in range(0, n, NODES):
+        stop = min(n, start + NODES)
+        out = np.zeros((stop - start, WIDTH), np.float32)
+        for i in range(start, stop):
+            p = max(0, page.parent[i])
             index = previous = 0
-        row = out[i]
-        c = chars[i]
-        row[:NUMBERS] = (
-            math.log1p(c), math.log1p(own[i]), c / total, linked[i] / (c + 1), c / nodes[i], pieces[i] / nodes[i], stops[i] / (c + 1), depth[i],
-            index, kids[p], index / max(1, kids[p]), kids[i], chars[p] and c / chars[p], linked[p] / (chars[p] + 1), (chars[p] - c) / max(1, kids[p] - 1),
-            math.log1p(chars[previous]) if previous else 0, linked[previous] / (chars[previous] + 1) if previous else 0, i / n, before / total, page.hidden[i], math.log1p(nodes[i]),
-        )
-        before += own[i]
-        if i:
-            row[NUMBERS + k : NUMBERS + 2 * k] = out[p, NUMBERS : NUMBERS + k]
-            row[NUMBERS + 2 * k : NUMBERS + 3 * k] = np.maximum(out[p, NUMBERS + 2 * k : NUMBERS + 3 * k], out[p, NUMBERS : NUMBERS + k])
-            row[WIDTH - t :] = np.maximum(out[p, WIDTH - t :], out[p, WIDTH - 2 * t : WIDTH - t])
-        if page.tag[i] in KIND:
-            row[NUMBERS + KIND[page.tag[i]]] = 1
-        if page.attrs[i]:
-            for token in re.split(r"[^a-z]+", page.attrs[i]):
-                if token in WANTED:
-                    row[NUMBERS + 3 * k + WANTED[token]] = 1
-    return out
+            if i:
+                depth[i] = depth[p] + 1
+                index, previous = seen[p], last[p]
+                seen[p] += 1
+                last[p] = i
+                above[i], inherited[i] = above[p] | kind[p], inherited[p] | tokens[p]
+            if page.tag[i] in KIND:
+                kind[i] = 1 << KIND[page.tag[i]]
+            if page.attrs[i]:
+                tokens[i] = sum(1 << x for x in {WANTED[w] for w in re.split(r"[^a-z]+", page.attrs[i]) if w in WANTED})
+            c = chars[i]
+            row = out[i - start]
+            row[:NUMBERS] = (
+                math.log1p(c), math.log1p(own[i]), c / total, linked[i] / (c + 1), c / nodes[i], pieces[i] / nodes[i], stops[i] / (c + 1), depth[i],
+                index, kids[p], index / max(1, kids[p]), kids[i], chars[p] and c / chars[p], linked[p] / (chars[p] + 1), (chars[p] - c) / max(1, kids[p] - 1),
+                math.log1p(chars[previous]) if previous else 0, linked[previous] / (chars[previous] + 1) if previous else 0, i / n, before / total, page.hidden[i], math.log1p(nodes[i]),
+            )
+            before += own[i]
+            for bits, first in ((kind[i], NUMBERS), (kind[p] if i else 0, NUMBERS + k), (above[i], NUMBERS + 2 * k), (tokens[i], NUMBERS + 3 * k), (inherited[i], NUMBERS + 3 * k + t)):
+                while bits:
+                    row[first + (bits & -bits).bit_length() - 1] = 1
+                    bits &= bits - 1
+        yield out
 
 
 def decoded(parent: list[int], keep: np.ndarray) -> list[bool]:
@@ -210,7 +230,14 @@ def decoded(parent: list[int], keep: np.ndarray) -> list[bool]:
 def extract(sources: list[str], model: Boosted) -> list[list[str]]:
     """The main blocks of each page, in page order."""
     pages = [parse(s) for s in sources]
-    keep = model.predict(np.concatenate([features(p) for p in pages]))
+    held, size, found = [], 0, []
+    for rows in (rows for p in pages for rows in features(p)):
+        held.append(rows)
+        size += len(rows)
+        if size >= NODES:
+            found.append(model.predict(np.concatenate(held)))
+            held, size = [], 0
+    keep = np.concatenate([*found, *([model.predict(np.concatenate(held))] if held else [])]) if pages else np.zeros(0)
     out, at = [], 0
     for page in pages:
         label = decoded(page.parent, keep[at : at + len(page.tag)])
@@ -331,7 +358,7 @@ def fit(pages: int, seed: int) -> Boosted:
             while node >= 0 and not holds[node] and text in main:
                 holds[node] = True
                 node = page.parent[node]
-        rows.append(features(page)[1:])
+        rows.append(np.concatenate(list(features(page)))[1:])
         labels += holds[1:]
     return Boosted().fit(np.concatenate(rows), np.array(labels, float))
 
@@ -351,10 +378,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: id, url, blocks (of main text, in page order) and text (blocks joined by two line ends).
 
     Null or empty html has no blocks and the empty text. White space inside a block is one space.
-    Repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
+    Pages of any length and depth are parsed whole, in time and memory in proportion to them. A node as
+    likely to be main text as not stays out. Repeated rows give repeated results; an empty table gives
+    no rows; other columns are ignored whatever their names.
     """
-    rows = pages.select(text_of(html_col).cast("binary").alias("__html"), F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias(url_col))
-    out = rows.mapInArrow(extractor(train()), rows.drop("__html").schema.add("blocks", T.ArrayType(T.StringType())))
+    rows = pages.select(text_of(html_col).cast("binary").alias("the html"), F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias(url_col))
+    out = rows.mapInArrow(frugal(extractor(train())), rows.drop("the html").schema.add("blocks", T.ArrayType(T.StringType())))
     return out.withColumn("text", F.array_join("blocks", "\n\n"))
 
 
