@@ -240,3 +240,24 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")
+
+
+#: All pairs that share an n-gram, without banding; classes by the least id that is reached.
+ORACLE_SQL = r"""
+with recursive t as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') as words from documents
+),
+g as (
+  select distinct doc_id, hash(list_slice(words, i, i + 4)) as gram from t, unnest(range(1, greatest(len(words) - 4, 1) + 1)) r(i) where len(words) > 0
+),
+n as (select doc_id, count(*) as n from g group by doc_id),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+link as (
+  select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b where shared / (x.n + y.n - shared) >= 0.8
+),
+reach(a, b) as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a),
+links as (select a, count(*) as n from link group by a),
+least_id as (select a, min(b) as least from reach group by a)
+select doc_id, least(doc_id, coalesce(least, doc_id)) as class_id, cast(coalesce(links.n, 0) as bigint) as n_links
+from t left join links on links.a = doc_id left join least_id on least_id.a = doc_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import exact_dedup, mixing, topk
+from granary.llm import exact_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, topk
 from granary.llm.exact_dedup import op1_exact_dedup
 from granary.llm.html_text import op7_main_text
 from granary.llm.kneser_ney import op4_quality
@@ -25,4 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op3_mixing": mixing.oracle_sql(), "op8_topk": topk.ORACLE_SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op2_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op3_mixing": mixing.oracle_sql(),
+        "op5_ngram_join": ngram_join.ORACLE_SQL,
+        "op8_topk": topk.ORACLE_SQL,
+        "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    }

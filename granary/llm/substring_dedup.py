@@ -35,3 +35,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+w as (select doc_id, i, array_to_string(list_slice(words, i, i + 49), ' ') as k from d, unnest(range(1, len(words) - 48)) t(i)),
+least_doc as (select k, min(doc_id) as least from w group by k),
+hit as (select w.doc_id, i from w join least_doc using (k) where least < w.doc_id),
+gone as (select distinct doc_id, i + j as i from hit, unnest(range(0, 50)) t(j)),
+word as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from d),
+kept as (
+  select word.doc_id, string_agg(word, ' ' order by word.i) filter (gone.i is null) as kept, count(gone.i) as n
+  from word left join gone on word.doc_id = gone.doc_id and word.i = gone.i group by word.doc_id
+)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""

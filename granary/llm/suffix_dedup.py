@@ -36,3 +36,26 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows as strings of hexadecimal digits, taken from segments of 512 bytes so that none is far from its segment's start.
+ORACLE_SQL = """
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+seg as (select doc_id, j, substr(x, 1024 * j + 1, 1122) as s from h, unnest(range(0, length(x) // 1024 + 1)) t(j)),
+w as (select doc_id, 512 * j + i as p, substr(s, 2 * i + 1, 100) as k from seg, unnest(range(0, least(512, length(s) // 2 - 49))) t(i)),
+least_doc as (select k, min(doc_id) as d from w group by k),
+hit as (select w.doc_id, w.p from w join least_doc using (k) where d < w.doc_id),
+edge as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as fresh from hit),
+isle as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as n from edge),
+span as (select doc_id, min(p) as a, max(p) + 50 as b from isle group by doc_id, n),
+bounds as (
+  select doc_id, b as start, coalesce(lead(a) over (partition by doc_id order by a), 1073741824) as stop from span
+  union all
+  select doc_id, 0, coalesce(min(a), 1073741824) from h left join span using (doc_id) group by doc_id
+),
+kept as (select doc_id, unhex(string_agg(substr(x, 2 * start + 1, 2 * (stop - start)), '' order by start)) as kept from bounds join h using (doc_id) group by doc_id),
+gone as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from span group by doc_id)
+select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(kept) as kept_sha256
+from h join kept using (doc_id) left join gone using (doc_id)
+"""
