@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import discard, frugal, partitions_for, text_of, written
-from granary.llm.spelling import chunked, hash_words, repeats, spans, spelled, spelling_costs, symbols, words_of
+from granary.llm.spelling import chunked, coded, hash_words, repeats, spans, spelling_costs, symbols, trigrams, words_of
 from granary.llm.superwindows import BASE, mixed
 
-PASSES = 2  # shards are joined and asked in so many parts one after the other, which divides the disk that shuffles hold
+PASSES = 2  # shards are asked in so many parts one after the other, which divides the disk that shuffles hold
+JOINED = 4  # and joined in so many
 CHUNK = 1 << 23  # characters whose bigrams are counted at once
 ASKED_CHUNK = 1 << 22  # characters whose n-grams are looked up at once
 SHARD = 64 << 20  # bytes of text whose n-grams a shard is planned for
@@ -166,7 +167,7 @@ def count(cost: np.ndarray, shards: int):
             firsts, seconds, words, prices = [], [], [], []
             for some in spans(texts):
                 flat, counts = words_of(some)
-                codes, starts, lengths, number = spelled(flat, table)
+                codes, starts, lengths = coded(flat)
                 own = hash_words(codes, starts, lengths)
                 before = np.empty_like(own)
                 before[1:] = own[:-1]
@@ -175,7 +176,7 @@ def count(cost: np.ndarray, shards: int):
                 seconds.append(own)
                 word, at = np.unique(own, return_index=True)
                 words.append(word)
-                prices.append(spelling_costs(starts, lengths, number, cost)[at].astype(np.float32))
+                prices.append(spelling_costs(starts, lengths, trigrams(codes, table), cost)[at].astype(np.float32))
             first, second, n = added(np.concatenate(firsts), np.concatenate(seconds), np.ones(sum(map(len, firsts)), np.int64))
             for shard, a, b in by_shard(first, shards):
                 yield shard, PAIRS, 0, 0, pack_pairs(first[a:b], second[a:b], n[a:b])
@@ -366,8 +367,8 @@ def train(trusted: DataFrame, cost: np.ndarray, size: int) -> Model:
     joined = written(dealt(of(words, WORD).unionAll(of(counts, TYPES)), lower(d1, total, rest, hot_words, shards)))
     gains = [written(of(joined, VALUE))]
     discard(words)
-    for i in range(PASSES):
-        part = (F.col("bucket") % PASSES) == i
+    for i in range(JOINED):
+        part = (F.col("bucket") % JOINED) == i
         gains.append(written(dealt(of(counts, PAIRS).unionAll(of(joined, LOWER)).filter(part), upper(d2, hot_words, hot_pairs, shards))))
     discard(counts, joined)
     found = [unbundle(x.as_py()) for g in gains for x in g.filter("bucket < 0").select("body").toArrow().column(0)]  # at most HOT words, twice, and HOT bigrams
@@ -385,7 +386,7 @@ class Frequent:
         self.tables = []
         while len(grams):
             bits = max(8, len(grams).bit_length())
-            slot = self.slot(grams, bits)
+            slot = self.slot(grams, bits, len(self.tables))
             _, first = np.unique(slot, return_index=True)
             known, value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
             known[slot[first]], value[slot[first]] = grams[first], values[first]
@@ -394,18 +395,21 @@ class Frequent:
             left[first] = False
             grams, values = grams[left], values[left]
 
-    def slot(self, grams: np.ndarray, bits: int) -> np.ndarray:
-        return ((grams * np.uint64(BASE + 2 * len(self.tables))) >> np.uint64(64 - bits)).astype(np.int64)
+    def slot(self, grams: np.ndarray, bits: int, table: int) -> np.ndarray:
+        return ((grams * np.uint64(BASE + 2 * table)) >> np.uint64(64 - bits)).view(np.int64)
 
     def gains(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each n-gram is here, and its gain or 0."""
-        hit, out, left = np.zeros(len(grams), bool), np.zeros(len(grams), np.float32), np.arange(len(grams))
+        hit, out = np.zeros(len(grams), bool), np.zeros(len(grams), np.float32)
+        left = None
         for i, (bits, known, value) in enumerate(self.tables):
-            own = grams[left]
-            slot = ((own * np.uint64(BASE + 2 * i)) >> np.uint64(64 - bits)).astype(np.int64)
-            found = known[slot] == own
-            hit[left[found]], out[left[found]] = True, value[slot[found]]
-            left = left[~found]
+            own = grams if left is None else grams[left]
+            slot = self.slot(own, bits, i)
+            same = known.take(slot) == own
+            found = np.flatnonzero(same)
+            where = found if left is None else left[found]
+            hit[where], out[where] = True, value.take(slot[found])
+            left = np.flatnonzero(~same) if left is None else left[~same]
         return hit, out
 
 
@@ -442,13 +446,13 @@ def ask(cost: np.ndarray, rest: float, shards: int, frequent: tuple[np.ndarray,
             done = 0
             for some in spans(texts):
                 flat, counts = words_of(some)
-                codes, starts, lengths, number = spelled(flat, table)
+                codes, starts, lengths = coded(flat)
                 own = hash_words(codes, starts, lengths)
                 heads = np.cumsum(counts) - counts
                 if not low:
                     sizes.append(np.add.reduceat(lengths + 1, heads))
                     shares.append(repeats(own, counts))
-                    base = np.add.reduceat(spelling_costs(starts, lengths, number, cost), heads) - rest * counts
+                    base = np.add.reduceat(spelling_costs(starts, lengths, trigrams(codes, table), cost), heads) - rest * counts
                 doc = np.arange(len(counts), dtype=np.uint32)
                 each = np.repeat(doc, counts)
                 before = np.empty_like(own)

@@ -25,6 +25,7 @@ QUANTILE = 0.995
 SLACK = 1 + 1e-6  # room for rounding only: a copy of the text that sets the threshold must stay
 PRIOR = 60  # symbols of average trusted text that every document is given, so that short ones are judged mildly
 REPEATED = 0.25  # share of words equal to the word before them that no text may exceed, unless trusted text does so too
+BROADCAST_IDS = 1 << 20  # ids of trusted texts at most that are broadcast (8 MB); beyond it texts are shuffled to them
 LEAST_HELD = 50  # held-out trusted texts that must confirm that limit before it holds
 
 
@@ -32,12 +33,15 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
     """id, lang, ``extra``, n_symbols, perplexity, threshold and keep of every row; None without trusted text.
 
     One in FOLDS trusted documents stays out of the counts and sets the thresholds, since the model
-    knows its own texts too well. Labels grow with the corpus, so their joins are sort-merge joins.
+    knows its own texts too well. Labels grow with the corpus, so they are joined by sort-merge unless
+    they are counted to be few.
     """
     trusted_ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
     aside = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")).filter("id is not null")
-    trusted = written(texts.mapInArrow(frugal(squeeze), "id long, text binary").join(trusted_ids.hint("merge"), "id", "left_semi").select("text", aside.alias("aside")))
+    few = trusted_ids.count() <= BROADCAST_IDS
+    chosen = texts.join(F.broadcast(trusted_ids), "id", "left_semi").mapInArrow(frugal(squeeze), "id long, text binary") if few else texts.mapInArrow(frugal(squeeze), "id long, text binary").join(trusted_ids.hint("merge"), "id", "left_semi")
+    trusted = written(chosen.select("text", aside.alias("aside")))
     model = trusted.filter("not aside")
     if model.isEmpty():
         model = trusted

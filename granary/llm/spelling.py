@@ -52,18 +52,20 @@ def words_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return flat, np.array(counts, np.int64)
 
 
-def spelled(flat: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points, each word's start there and its length, and the character trigram that ends at each code.
-
-    Every word follows two starts, and the start behind it is its end.
-    """
+def coded(flat: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, and each word's start there and its length. Every word follows two starts, and the start behind it is its end."""
     codes = np.frombuffer(("\ufffe\ufffe" + "\ufffe\ufffe".join(flat) + "\ufffe").encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+    return codes, np.cumsum(lengths + 2) - lengths, lengths
+
+
+def trigrams(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The character trigram that ends at each code."""
     s = table[np.minimum(codes, 0x250)]
     s[codes == 0xFFFE] = START
     number = np.zeros(len(s), np.uint32)
     number[2:] = (s[:-2] * np.uint32(ALPHABET) + s[1:-1]) * np.uint32(ALPHABET) + s[2:]
-    lengths = np.fromiter(map(len, flat), np.int64, len(flat))
-    return codes, np.cumsum(lengths + 2) - lengths, lengths, number
+    return number
 
 
 def spelling_costs(starts: np.ndarray, lengths: np.ndarray, number: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -120,7 +122,8 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total, table = np.zeros(ALPHABET**3, np.int64), symbols()
     for _, texts in chunked(batches, 0, True, CHUNK):
         for some in spans(texts):
-            _, starts, _, number = spelled(words_of(some)[0], table)
+            codes, starts, _ = coded(words_of(some)[0])
+            number = trigrams(codes, table)
             event = np.ones(len(number), bool)
             event[:2] = event[starts - 1] = False
             total += np.bincount(number[event], minlength=len(total))
