@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.plans import programs
 from granary.sources.parquet import TABLES, register_views
 
 HIGH_ORDERS = "customer c left join orders o on c.c_custkey = o.o_custkey and o.o_totalprice > 450000"
@@ -75,6 +76,18 @@ COMMON: dict[str, str] = {
     "alias_shadow": "select n_nationkey + 1 as n_nationkey from nation",
     "null_key_join": "select a.k as ak, b.k as bk from (values (1), (null)) as a(k) left join (values (1), (null)) as b(k) on a.k = b.k",
     "not_distinct": f"select c.c_custkey, o.o_orderstatus is not distinct from 'F' as same, o.o_orderstatus is distinct from 'F' as other from {HIGH_ORDERS}",
+    "sum_product": "select l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, max(l_quantity + l_tax) as m, count(l_orderkey % 3) as c from lineitem group by l_returnflag",
+    "agg_all_distinct": "select l_returnflag, cast(sum(distinct l_linenumber) as bigint) as s, avg(distinct l_linenumber) as a, count(distinct l_linenumber) as c, min(distinct l_linenumber) as m from lineitem group by l_returnflag",
+    "neg_column": "select c_custkey, -c_custkey as k, -c_acctbal as b, 3 - -c_custkey as d, +c_custkey as p from customer",
+    "duplicate_names": "select a, b from (select n_name, n_name from nation) as t(a, b)",
+    "in_list": "select n_nationkey, n_regionkey in (1, 3, null) as i, n_name not in ('FRANCE', 'CHINA') as o from nation",
+    "case_when": "select o_orderkey, case when o_totalprice > 300000 then 'high' when o_totalprice > 100000 then 'middle' end as level, case o_orderstatus when 'F' then 1 else 0 end as f from orders",
+    "concat_op": "select n_nationkey, n_name || '-' || cast(n_regionkey as varchar(10)) as label from nation",
+    "exists_join": "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 400000)",
+    "in_subquery": "select n_name from nation where n_regionkey in (select r_regionkey from region where r_name like 'A%')",
+    "union_with": "with low as (select n_nationkey as k from nation where n_regionkey = 0), high as (select n_nationkey as k from nation where n_regionkey = 4) select k from low union all select k from high union select 99",
+    "group_ordinal": "select o_orderstatus, count(1) as c from orders group by 1",
+    "rollup_groups": "select l_returnflag, l_linestatus, count(1) as c from lineitem group by rollup(l_returnflag, l_linestatus)",
 }
 
 # Spark's text, and the same query in the oracle's dialect.
@@ -84,6 +97,10 @@ DIFFERENT: dict[str, tuple[str, str]] = {
         "select o_orderkey, (3 - o_orderkey) div 7 as d, (3 - o_orderkey) % 7 as m from orders",
         "select o_orderkey, (3 - o_orderkey) // 7 as d, (3 - o_orderkey) % 7 as m from orders",
     ),
+    "null_equal_join": (
+        f"select a.c_custkey as x, b.c_custkey as y from (select c.c_custkey, o.o_orderkey from {HIGH_ORDERS}) a inner join (select c.c_custkey, o.o_orderkey from {HIGH_ORDERS}) b on a.o_orderkey <=> b.o_orderkey and a.c_custkey = b.c_custkey + 1",
+        f"select a.c_custkey as x, b.c_custkey as y from (select c.c_custkey, o.o_orderkey from {HIGH_ORDERS}) a inner join (select c.c_custkey, o.o_orderkey from {HIGH_ORDERS}) b on a.o_orderkey is not distinct from b.o_orderkey and a.c_custkey = b.c_custkey + 1",
+    ),
     "natural_nocommon": ("select r_name, n_name from region natural join nation", "select r_name, n_name from region cross join nation"),
     "count_multi": (
         f"select count(c.c_custkey, o.o_orderkey) as n, count(1) as c from {HIGH_ORDERS}",
@@ -92,10 +109,12 @@ DIFFERENT: dict[str, tuple[str, str]] = {
 }
 
 SPARK_SQL = COMMON | {k: v[0] for k, v in DIFFERENT.items()}
-ORACLE_SQL = COMMON | {k: v[1] for k, v in DIFFERENT.items()}
+ORACLE_SQL = COMMON | {k: v[1] for k, v in DIFFERENT.items()} | programs.ORACLE_SQL
 
 
 def query(key: str) -> Callable[[SparkSession, str], DataFrame]:
+    if key not in SPARK_SQL:
+        return programs.queries()[key]
     tables = tuple(t for t in TABLES if re.search(rf"\b{t}\b", SPARK_SQL[key]))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +126,4 @@ def query(key: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: query(key) for key in SPARK_SQL}
+    return {key: query(key) for key in SPARK_SQL} | programs.queries()

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.sources.ddl import TableStore
+from granary.sql_text import check_joins, without_aggregate_order
 
-DEFAULT_DATABASE = "master"
+DEFAULT_DATABASE = "master"  # fixed value: the name of the database that a session starts in
 _CREATE = re.compile(r"\s*create\s+table\s+(if\s+not\s+exists\s+)?([\w.`]+)\s*\((.*)\)\s*;?\s*$", re.I | re.S)
 _INSERT = re.compile(r"\s*insert\s+into\s+(?:table\s+)?([\w.`]+)\s*(?:\(([^()]*)\)\s*)?((?:values|select|with)\b.*?);?\s*$", re.I | re.S)
 
@@ -29,7 +30,8 @@ def split_columns(body: str) -> list[str]:
 class EngineSession:
     """Wraps a SparkSession with a default database and strict DDL and DML.
 
-    CREATE TABLE maps portable type names to Spark's and INSERT enforces NOT NULL; every other
+    CREATE TABLE maps portable type names to Spark's and INSERT enforces NOT NULL. A join without a
+    condition is an error unless it says CROSS, and aggregates may have an ORDER BY. Every other
     statement is Spark SQL as it is, so nothing is parsed and then ignored.
     """
 
@@ -47,14 +49,18 @@ class EngineSession:
             return self._create(m[2], m[3], bool(m[1]))
         if m := _INSERT.match(statement):
             columns = None if m[2] is None else [c.strip().strip("`\"") for c in m[2].split(",")]
-            return self.store.insert(m[1], self.spark.sql(m[3]), columns)
-        return self.spark.sql(statement)
+            return self.store.insert(m[1], self._query(m[3]), columns)
+        return self._query(statement)
+
+    def _query(self, statement: str) -> DataFrame:
+        check_joins(statement)
+        return self.spark.sql(without_aggregate_order(statement))
 
     def run(self, statement: str) -> list:
         return self.sql(statement).collect()
 
     def explain(self, statement: str) -> str:
-        return self.spark.sql(f"EXPLAIN FORMATTED {statement}").first()[0]
+        return self._query(f"EXPLAIN FORMATTED {statement}").first()[0]
 
     def _create(self, name: str, body: str, if_not_exists: bool) -> DataFrame:
         columns = []
