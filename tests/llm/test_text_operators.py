@@ -4,14 +4,16 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
 import pytest
 
 from granary.llm import html_text, registry, topk
-from granary.llm.exact_dedup import exact_dedup, exact_groups
+from granary.llm.exact_dedup import Index, Run, exact_dedup, exact_groups
 from granary.llm.kneser_ney import quality_filter, quality_scores
 from granary.llm.mixing import mix
 from granary.llm.ngram_join import bands_for, plain, similar_dedup, similar_groups
@@ -117,6 +119,36 @@ def test_exact(spark):
     assert exact_groups(frame(spark, [])).count() == 0 and exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_beyond_the_filter_and_over_many_runs(spark, monkeypatch):
+    from granary.llm import exact_dedup as module
+
+    rng = random.Random(12)
+    rows = [(i, f"text {rng.randrange(90)}" * rng.randrange(1, 3)) for i in range(2000)]
+    want = {}
+    for i, t in rows:
+        want[t] = max(i, want.get(t, i))
+    for size in (0, 1 << 20):
+        for name, value in (("MEMTABLE_ROWS", 11), ("SEGMENT_ROWS", 40), ("FAN_IN", 3), ("FILTER_BYTES", size)):
+            monkeypatch.setattr(module, name, value)
+        got = exact_groups(frame(spark, rows).repartition(5)).collect()
+        assert {r.doc_id: r.keep_id for r in got} == {i: want[t] for i, t in rows}
+
+
+def test_index_of_digests():
+    rng = np.random.default_rng(9)
+    table, want = Index(), {}
+    for _ in range(200):
+        digests = np.array([hashlib.sha256(bytes([x])).digest() for x in rng.integers(0, 250, 9)], "S32")
+        idents = rng.integers(0, 1000, 9)
+        for d, i in zip(digests.tolist(), idents.tolist(), strict=True):
+            best, n = want.get(d, (i, 0))
+            want[d] = (max(best, i), n + 1)
+        table.add(Run.merged(digests, idents, np.ones(9, np.int64)))
+    runs = [r for level in table.levels for r in level]
+    assert {d: (i, n) for r in runs for d, i, n in zip(r.digests.tolist(), r.idents.tolist(), r.hits.tolist(), strict=True)} == want
+    assert sum(len(r.digests) for r in runs) == len(want) and len(table.levels) > 1
+
+
 def links_of(rows):
     sets = collections.defaultdict(set)
     for i, t in rows:
@@ -165,6 +197,9 @@ def test_similar(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, (c, _) in want.items() if i == c)
     twice = similar_dedup(frame(spark, [(1, "one two three four five six"), (1, "one two three four five six")]))
     assert twice.count() == 1
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    several = [(5, " ".join(words)), (5, "another text of the id five that no one else has"), (7, " ".join(words) + " more"), (9, "another text of the id five that no one else has ever")]
+    assert {(r.doc_id, r.class_id) for r in similar_groups(frame(spark, several)).collect()} == {(5, 5), (7, 5), (9, 5)}
     assert similar_groups(frame(spark, [])).count() == 0
     b = bands_for(0.8, 5, 0.99999)
     assert 1 - (1 - 0.8**5) ** b >= 0.99999
@@ -175,9 +210,13 @@ def test_mixing(spark):
     docs = spark.createDataFrame([*rows, (None, None, None, None, None, None, None, None)], SCHEMA)
     out = mix(docs, {"s0": 0.2, "s1": 0.5, "s2": 0.3, "none": 0.4}, epochs=2.0)
     n = collections.Counter(r.source for r in out.collect())
-    assert out.columns == docs.columns and None not in n
+    assert out.columns == docs.columns
+    others = n.pop(None, 0)
+    assert others == mix(docs.filter("source is null"), {}, epochs=2.0).count()
+    unlisted = mix(docs, {"s1": 1.0}, epochs=3.0).groupBy("source").count().collect()
+    assert all(abs(r["count"] / (3 * sum(x[3] == r.source for x in rows)) - 1) < 0.1 for r in unlisted if r.source)
     total = sum(n.values())
-    assert abs(total - 8002) < 400 and all(abs(n[s] / total - w) < 0.03 for s, w in (("s0", 0.2), ("s1", 0.5), ("s2", 0.3)))
+    assert abs(total - 8000) < 400 and all(abs(n[s] / total - w) < 0.03 for s, w in (("s0", 0.2), ("s1", 0.5), ("s2", 0.3)))
     rare = mix(docs.filter("source = 's1' or doc_id = 0"), {"s0": 0.5, "s1": 0.5})
     assert 200 < rare.filter("source = 's0'").count() < 500  # a mean far above one part
     assert mix(frame(spark, [])).count() == 0
@@ -293,8 +332,8 @@ def test_toxicity(spark):
 
 
 def test_words_of_a_small_language(spark):
-    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
-    rows = [(i, "bomentell ciones" if n < 5 else "scum and the" if n < 400 else "the and ciones") for n, i in enumerate(ids[:1200])]
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"{i} bomentell ciones" if n < 5 else f"{i} scum and the" if n < 400 else f"{i} the and ciones") for n, i in enumerate(ids[:4000])]
     labels = spark.createDataFrame([(i, 1, int(n < 400)) for n, (i, _) in enumerate(rows)], LABELS)
     model = fit(frame(spark, rows), labels)
     assert {w for w, x in model.weights.items() if x > 0} == {"bomentell", "scum"}
@@ -387,6 +426,83 @@ def test_options_without_end_tags():
     assert [t for _, t in html_text.parse(page).runs] == ["First text.", "Second text."]
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("Let <math><mi>x</mi></math> be <svg><text>drawn</text></svg><object>text</object>", ["Let x be drawntext"]),
+        ('<p title="a>hello', ["hello"]),
+        ("<p title='a>hello</p><p>there", ["hello", "there"]),
+        ("a&am<b>p;</b>", ["a&amp;"]),
+        ("&lt;b&gt; &amp;amp; &#233;&nbsp;&euro;", ["<b> &amp; é €"]),
+        ("<![CDATA[a&amp;b]]>c", ["a&amp;bc"]),
+        ("a<script>if (x</p>) '<p>'</script>b<style>p{}</style>c", ["abc"]),
+        ("<ul><li>a<li>b<ul><li>c</ul>d</ul>e", ["a", "b", "c", "d", "e"]),
+        ("<p>a<div>b</p>c</div>d<p", ["a", "b", "c", "d"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]),
+        ("1 < 2 <", ["1 < 2 <"]),
+    ],
+)
+def test_parse(page, texts):
+    assert [t for _, t in html_text.parse(page).runs] == texts
+
+
+def test_long_pages_take_proportional_time():
+    def seconds(page):
+        began = time.perf_counter()
+        html_text.parse(page)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "<div>" * n + "</p>" * n, lambda n: "<ul><li>" + "<div>" * n + "<li></li>" * n, lambda n: "<p title='" * n, lambda n: "<option>" * n, lambda n: "<" * n):
+        assert seconds(make(40_000)) < 12 * max(0.02, seconds(make(10_000)))
+
+
+class Article(HTMLParser):
+    """An extractor by the rule that these pages follow: the blocks of the article element."""
+
+    BLOCKS = {"article", "p", "div", "h1", "h2", "h3", "ul", "li", "table", "tr", "td", "blockquote", "section", "aside", "nav", "form", "footer"}
+    DROPPED = {"aside", "nav", "form", "footer", "script", "style"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out, self.held, self.found = 0, 0, [], []
+
+    def close_block(self):
+        text = " ".join("".join(self.held).split())
+        if text:
+            self.found.append(text)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.close_block()
+        self.inside += tag == "article"
+        self.out += self.inside > 0 and tag in self.DROPPED
+        if tag == "br":
+            self.held.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.close_block()
+        self.inside -= tag == "article"
+        self.out -= self.inside > 0 and tag in self.DROPPED
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.held.append(data)
+
+
+def test_main_text_is_the_article():
+    model, right = html_text.train(), 0
+    pages = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    for (page,) in pages:
+        parser = Article()
+        parser.feed(page)
+        parser.close()
+        parser.close_block()
+        right += html_text.extract([page], model)[0] == parser.found
+    assert len(pages) == 250 and right >= 0.98 * len(pages)
+
+
 @pytest.mark.parametrize("key", list(registry.oracle_sql()))
 def test_oracles(spark, key):
     con = duckdb.connect()
