@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import text_of, written
+from granary.llm.common import frugal, text_of, written
 
 CAPACITY = 2048
 END = 0  # the id after each document
@@ -105,6 +105,8 @@ def encoder(path: str) -> tiktoken.Encoding:
     """A byte-level BPE read from a tokenizer's JSON file; ids equal those of the tokenizers library."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or not spec["pre_tokenizer"].get("use_regex", True):
+        raise ValueError(f"{path} asks for more than a byte-level split")
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -164,19 +166,21 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A document is its ids and then id 0; null text is empty, so a document of one id. Longer ones
     are cut from their end into full pieces, the first piece may be shorter. ``tokenizer`` is the
     path of a byte-level BPE's JSON file on every machine. Repeated rows and rows that share an id
-    or have none are packed each. An empty table gives no rows; other columns are ignored.
+    or have none are packed each. Texts of any length are encoded whole. Pieces of one length are alike,
+    so ties between them do not change the packing. An empty table gives no rows; other columns are
+    ignored whatever their names.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. The driver holds the
     histogram of lengths and the packing plan over it, whose sizes depend on ``capacity`` alone.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    pieces = written(rows.mapInArrow(tokenise(tokenizer, capacity), PIECE_TYPE))
+    pieces = written(rows.mapInArrow(frugal(tokenise(tokenizer, capacity)), PIECE_TYPE))
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     plan = best_fit({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
-    return ranked.mapInArrow(place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("doc_id", id_col)
+    return ranked.mapInArrow(frugal(place(plan)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("doc_id", id_col)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import partitions
+from granary.llm.common import frugal, partitions
 
 SHARD = 8192  # vectors of a shard
 TILE = 4096  # queries of a tile
 BLOCK = 256  # queries of a tile that are multiplied at once
+STRIDE = 7919  # slots between the shards of one task; a task's first shard has the slot of the task's number
 FAN_IN = 16  # lists that one step of the merge tree joins
 EXACT = 1 << 53  # integers up to here are exact in a double
 
@@ -126,19 +127,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     Components become floor(scale * x); scores are exact integers (held at the limits of a long).
     Ties go to the smaller id. Rows with the query's own id are no candidates. Vectors that are null
     or hold null or non-finite components, and rows without an id, take no part; vectors of another
-    length than the query's are no candidates. Repeated rows are candidates each. An empty table, or
-    a query without candidates, gives no rows; other columns are ignored.
+    length than the query's are no candidates. Repeated rows are candidates each. Components whose
+    scaled value is beyond a long are held at its limits. An empty table, or a query without candidates,
+    gives no rows; other columns are ignored whatever their names.
+
+    Shards are dealt to slots in turn, and tiles to every slot, of which there are as many as partitions
+    but no more than shards.
     """
-    n = partitions(vectors.sparkSession)
+    n = max(1, min(partitions(vectors.sparkSession), -(-vectors.count() // SHARD)))
 
     def packed(df: DataFrame, most: int) -> DataFrame:
         rows = df.filter(F.col(f"`{id_col}`").isNotNull() & usable(vector_col)).select(F.col(f"`{id_col}`").cast("long").alias("id"), integers(vector_col, scale).alias("v"))
-        return rows.mapInArrow(pack(most), "pack long, dim int, ids binary, vectors binary")
+        return rows.mapInArrow(frugal(pack(most)), "pack long, dim int, ids binary, vectors binary")
 
-    shards = packed(vectors, SHARD).withColumn("slot", F.pmod(F.xxhash64("pack"), F.lit(n)).cast("int"))
+    shards = packed(vectors, SHARD).withColumn("slot", F.pmod(F.shiftright("pack", 32) + F.col("pack").bitwiseAND(0xFFFFFFFF) * F.lit(STRIDE), F.lit(n)).cast("int"))
     tiles = packed(queries, TILE).select(F.col("pack").alias("tile"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
     pairs = tiles.join(shards, ["slot", "dim"]).select("slot", "tile", "dim", "q_ids", "q_vectors", "ids", "vectors")
-    found = pairs.sortWithinPartitions("tile", "slot").mapInArrow(multiply(k), "slot int, query_id long, vec_id long, score long")
+    found = pairs.sortWithinPartitions("tile", "slot").mapInArrow(frugal(multiply(k)), "slot int, query_id long, vec_id long, score long")
     order = (F.col("score").desc(), F.col("vec_id"))
     while n > 1:
         n = -(-n // FAN_IN)
