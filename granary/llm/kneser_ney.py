@@ -9,10 +9,16 @@ n-gram of words g with context c and suffix s, the gain is log p(g) - log b(c) -
 log b(g), where b is a context's weight for the order below. A perplexity per symbol is held against
 a quantile of held-out trusted documents in the document's own language. A word said over and over is
 cheap after its first time, so texts that repeat the word before them are judged by that share as well.
+
+A language has few held-out documents at times, whose highest perplexity is then their quantile, and one
+clean document in as many is above it. So the threshold is the larger of two quantiles: that of the
+held-out documents, and that of the log-normal distribution with their mean and spread.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +28,14 @@ from granary.llm.spelling import spelling, squeeze
 
 FOLDS = 5  # one in so many trusted documents sets thresholds instead of being counted
 QUANTILE = 0.995
-SLACK = 1 + 1e-6  # room for rounding only: a copy of the text that sets the threshold must stay
+ROUNDING = 1 + 1e-6  # a copy of the text that sets the threshold must stay
 PRIOR = 60  # symbols of average trusted text that every document is given, so that short ones are judged mildly
 REPEATED = 0.25  # share of words equal to the word before them that no text may exceed, unless trusted text does so too
 BROADCAST_IDS = 1 << 20  # ids of trusted texts at most that are broadcast (8 MB); beyond it texts are shuffled to them
 LEAST_HELD = 50  # held-out trusted texts that must confirm that limit before it holds
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, extra: list[Column], quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame | None:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, extra: list[Column], quantile: float = QUANTILE) -> DataFrame | None:
     """id, lang, ``extra``, n_symbols, perplexity, threshold and keep of every row; None without trusted text.
 
     One in FOLDS trusted documents stays out of the counts and sets the thresholds, since the model
@@ -56,7 +62,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
     first = held.agg(F.sum("cost").alias("cost"), F.sum("n_symbols").alias("n"), F.count(F.lit(1)).alias("texts")).first()
     average = first.cost / first.n
     perplexity = F.exp((F.col("cost") + PRIOR * average) / (F.col("n_symbols") + PRIOR))
-    cut = (F.percentile_approx(perplexity, F.lit(quantile), F.lit(10_000)) * slack).alias("cut")
+    fitted = F.exp(F.avg(F.log(perplexity)) + NormalDist().inv_cdf(quantile) * F.coalesce(F.stddev_samp(F.log(perplexity)), F.lit(0.0)))
+    cut = (F.greatest(F.percentile_approx(perplexity, F.lit(quantile), F.lit(10_000)), fitted) * ROUNDING).alias("cut")
     usual = held.agg(cut).first().cut
     limits = written(held.filter("lang is not null").groupBy("lang").agg(cut))
     rows = rows.join(limits, "lang", "left").withColumn("perplexity", perplexity).withColumn("threshold", F.coalesce("cut", F.lit(usual)))
@@ -70,7 +77,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: id, lang, n_symbols, perplexity, threshold and keep.
 
-    Rows above the threshold leave, and so do those whose words mostly repeat the word before them
+    Rows above the threshold of their language leave, and so do those whose words mostly repeat the word before them
     (REPEATED). Null and empty texts hold only the end of a text, get nearly the average perplexity and stay.
     Rows of a null or unseen language meet the threshold of all trusted text. Without trusted text
     everything stays. Repeated rows get repeated results; a text that ties with the threshold stays; texts

@@ -78,7 +78,9 @@ def rejected(docs, trusted, aside):
     out = set()
     for lang, part in docs.groupby("lang"):
         found = sorted(perplexity[i] for i in part.doc_id if i in aside) or sorted(perplexity[i] for i in aside)
-        limit = found[max(0, math.ceil(kn.QUANTILE * len(found)) - 1)] * kn.SLACK
+        logs = np.log(found)
+        fitted = math.exp(logs.mean() + 2.5758293035489 * (logs.std(ddof=1) if len(logs) > 1 else 0))
+        limit = max(found[max(0, math.ceil(kn.QUANTILE * len(found)) - 1)], fitted) * kn.ROUNDING
         out |= {i for i in part.doc_id if perplexity[i] > limit}
     return out, perplexity
 
