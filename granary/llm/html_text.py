@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from granary.llm.boosting import Boosted
 from granary.llm.common import frugal, text_of
 
-TRAIN_PAGES = 500  # generated pages that the trees are fitted on
+TRAIN_PAGES = 800  # generated pages that the trees are fitted on
 BATCH = 64  # pages that are parsed at once
 NODES = 20_000  # nodes that are scored at once
 
@@ -308,7 +308,7 @@ def generated(rng: np.random.Generator) -> tuple[str, set[str]]:
 
     def paragraph() -> str:
         kind = rng.random()
-        text = content(words(*((1, 3) if chance(0.12) else (5, 40) if chance(0.5) else (40, 120))))
+        text = content(words(*((1, 4), (3, 14), (10, 45), (40, 120))[int(rng.integers(4))]))
         if kind < 0.72:
             return f"<p>{text}</p>"
         if kind < 0.84:
