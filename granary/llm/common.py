@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,15 +34,33 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_lock = threading.Lock()
+_open: dict[int, tuple[int, str]] = {}  # by session: writes that are running, and what the setting was before the first
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete a query's shuffles when it ends, until the last of the session's writes has ended."""
+    with _lock:
+        n, before = _open.get(id(spark), (0, spark.conf.get(CLEANUP)))
+        _open[id(spark)] = (n + 1, before)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _open.pop(id(spark))
+            if n > 1:
+                _open[id(spark)] = (n - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` returned and that nothing reads any more; other files stay."""
     for table in tables:
@@ -90,13 +110,13 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """A task whose worker returns freed memory to the system at once, and the rest when the task ends."""
+    """A task whose worker returns large freed blocks to the system at once, and the rest when the task ends."""
 
     def wrapped(batches: Batches) -> Batches:
         try:
             libc = ctypes.CDLL(None)
-            libc.mallopt(-3, 1 << 18)  # blocks from this size on are mapped one by one, and unmapped when freed
-            libc.mallopt(-1, 1 << 20)
+            libc.mallopt(-3, 4 << 20)  # blocks from this size on are mapped one by one, and unmapped when freed; smaller ones are used again
+            libc.mallopt(-1, 16 << 20)
         except (OSError, AttributeError):  # another C library: memory is returned when it sees fit
             libc = None
         pa.set_memory_pool(pa.system_memory_pool())

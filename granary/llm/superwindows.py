@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import frugal, partitions_for, text_bytes, text_of, written
 
-CHUNK = 1 << 20  # bytes of text that are hashed at once
+CHUNK = 1 << 18  # bytes of text that are hashed at once
 FLUSH = 12 << 20  # bytes of text that a task holds before it sends their packed strings
 LONGEST = 64  # windows of a packed string at most; a longer run is cut there
 PARTITION = 80 << 20  # bytes of packed strings that a partition is planned for

@@ -2,11 +2,14 @@
 
 import collections
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from granary.llm import common
 from granary.llm.exact_dedup import exact_dedup, exact_groups
 from granary.llm.html_text import main_text
 from granary.llm.kneser_ney import quality_filter, quality_scores
@@ -122,6 +125,22 @@ def test_pages(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+def test_writes_of_several_threads(spark):
+    before = spark.conf.get(common.CLEANUP)
+    with ThreadPoolExecutor(4) as pool:
+        tables = list(pool.map(lambda i: common.written(spark.range(1000).repartition(3).groupBy((F.col("id") % (i + 2)).alias("k")).count()), range(8)))
+    assert [t.count() for t in tables] == [i + 2 for i in range(8)] and spark.conf.get(common.CLEANUP) == before
+    common.discard(*tables[1:])
+    assert tables[0].count() == 2
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        tables[1].count()
+
+
+def test_the_shared_folder(spark):
+    other = spark.newSession()
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/") == common.shared_dir(other)
+
+
 @pytest.mark.parametrize("rows", [ROWS, []], ids=["edges", "empty"])
 def test_pipeline(spark, labels, tmp_path, rows):
     docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", "id", "row")
