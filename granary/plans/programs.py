@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,8 @@ DATABASE = "granary_programs"
 
 
 def fresh_session(spark: SparkSession, suffix: str) -> EngineSession:
-    """A session whose own database is empty."""
-    spark.sql(f"DROP DATABASE IF EXISTS {DATABASE}_{suffix} CASCADE")
-    return EngineSession(spark, f"{DATABASE}_{suffix}")
+    """A session with a database that no other call or application has: its folder stays in the warehouse, since results still read it."""
+    return EngineSession(spark, f"{DATABASE}_{suffix}_{uuid.uuid4().hex}")
 
 
 def verb_scan_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def statement_three_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = fresh_session(spark, "parts")
     session.run("create table seats (code int, town text)")
     session.run("insert into seats values (1, 'oslo'), (2, 'lima')")
-    name = f"{DATABASE}_parts"
+    name = session.database
     return session.sql(f"select {name}.seats.code, -{name}.seats.code as neg, seats.town from {name}.seats where {name}.seats.code > 1 or town = 'oslo'")
 
 

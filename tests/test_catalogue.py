@@ -1,7 +1,11 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
-from granary.plans import catalogue
+from granary.plans import catalogue, programs
 from granary.sources.parquet import TABLES
 
 SF = "/root/testdata/sf0.01"
@@ -51,3 +55,19 @@ def test_plans(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string,c_acctbal:double>" in plan(spark, "scan_project")
     assert "TakeOrderedAndProject" in plan(spark, "order_limit_offset")
     assert "CartesianProduct" not in plan(spark, "comma_join")
+
+
+@pytest.mark.parametrize("key", [k for k in programs.PROGRAMS if k.startswith("statement_")])
+def test_statements_run_again_over_what_an_application_left(tmp_path, key):
+    """Databases of an earlier application are forgotten by the catalog, but their folders are still in the warehouse."""
+    code = f"""
+from pyspark.sql import SparkSession
+from granary.plans import programs
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {str(tmp_path)!r}).getOrCreate()
+first = programs.PROGRAMS[{key!r}][0](spark, {SF!r})
+again = programs.PROGRAMS[{key!r}][0](spark, {SF!r})
+assert sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+"""
+    for _ in range(2):
+        done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=120, check=False)
+        assert done.returncode == 0, done.stderr[-2000:]
