@@ -21,12 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from granary.llm.common import frugal, text_of
+from granary.llm.common import discard, frugal, text_of, written
 
-TOXIC_ROWS, CLEAN_ROWS = 10_000, 20_000  # about the most labelled rows of each kind that the regression is fitted on
-CANDIDATES = 500  # most words that the regression may weigh
-KNOWN = 20_000  # most words of these rows that the channel knows as words
+KNOWN = 20_000  # most words of the labelled rows that the channel knows as words, beside the candidates
 LEAST_DOCS = 3  # labelled documents that such a word is in, at least
 EVIDENCE = 15.1  # of the likelihood ratio test that a word and the label are related: one unrelated word in ten thousand passes
 EFFECT = 3.0  # log odds of the label that such a word shifts at least, up or down
@@ -208,6 +207,7 @@ def decode(text: str, words: WordModel) -> str:
 CLASSES = ["il1!|", "o0%", "e3", "a4@&", "s5$", "t7+", "gb689", "z2", "h#", "c(<", "*"]
 CLASS = {c: ord(own[0]) for own in CLASSES for c in own} | {c: ord(c) for c in "dfjkmnpqruvwxy"}
 BETWEEN = 1  # stands between texts
+FOUND = "the words"  # column of the numbers of the candidate words in a text
 
 
 def coarse(digits: bool, signs: bool) -> np.ndarray:
@@ -312,30 +312,60 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def regression(x: np.ndarray, y: np.ndarray, times: np.ndarray, penalty: float, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression, by Newton's method.
+class Bags:
+    """Rows as the numbers of the words they hold, each with one more, the intercept's."""
+
+    def __init__(self, words: pa.ListArray, d: int) -> None:
+        sizes = np.diff(words.offsets.to_numpy())
+        self.n, self.d = len(words), d
+        self.row = np.repeat(np.arange(self.n), sizes + 1)
+        self.col = np.insert(words.flatten().to_numpy().astype(np.int64), np.cumsum(sizes), d)
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.n)
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """For each word the sum of the values of the rows that hold it."""
+        return np.bincount(self.col, v[self.row], self.d + 1)
+
+    def solved(self, curve: np.ndarray, shrink: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Conjugate gradients for a Newton step; the matrix of all pairs of words is never built."""
+        scale = self.sums(curve) + shrink
+        out, rest = np.zeros(len(goal)), goal.copy()
+        way = rest / scale
+        size = enough = rest @ way
+        for _ in range(2 * len(goal)):
+            if size <= 1e-12 * enough:
+                break
+            turned = self.sums(curve * self.margins(way)) + shrink * way
+            far = size / (way @ turned)
+            out, rest = out + far * way, rest - far * turned
+            before, size = size, rest @ (rest / scale)
+            way = rest / scale + size / before * way
+        return out
+
+
+def regression(x: Bags, y: np.ndarray, times: np.ndarray, penalty: float, steps: int = 30) -> np.ndarray:
+    """Weights of a logistic regression, the intercept last, by Newton's method.
 
     The penalty is on the squares of what a weight differs from the word's own log odds: toxic texts hold
     several words, so that a penalty on the weights alone would leave too little for a text with one.
     """
-    n, d = x.shape
-    rows = np.column_stack([x, np.ones(n, x.dtype)])
-    shrink = np.append(np.full(d, penalty), 0.0)
+    shrink = np.append(np.full(x.d, penalty), 0.0)
     bad, good = times @ y, times @ (1 - y)
-    odds = np.log(((times * y) @ x + 0.5) / (bad + 1)) - np.log(((times * (1 - y)) @ x + 0.5) / (good + 1))
-    goal = np.append(odds, math.log((bad + 0.5) / (good + 0.5)))
+    goal = np.log((x.sums(times * y) + 0.5) / (bad + 1)) - np.log((x.sums(times * (1 - y)) + 0.5) / (good + 1))
+    goal[-1] = math.log((bad + 0.5) / (good + 0.5))
     w = goal.copy()
 
     def loss(w: np.ndarray) -> float:
-        z = rows @ w
+        z = x.margins(w)
         return float(times @ (np.logaddexp(0, z) - y * z) + (shrink * (w - goal) ** 2).sum() / 2)
 
     now = loss(w)
     for _ in range(steps):
-        p = logistic(rows @ w)
-        gradient = rows.T @ (times * (p - y)) + shrink * (w - goal)
-        curve = (rows * (times * p * (1 - p))[:, None].astype(x.dtype)).T @ rows
-        step = np.linalg.solve(curve + np.diag(shrink + 1e-6), gradient)
+        p = logistic(x.margins(w))
+        gradient = x.sums(times * (p - y)) + shrink * (w - goal)
+        step = x.solved(times * p * (1 - p), shrink + 1e-6, gradient)
         size = 1.0
         while loss(w - size * step) > now and size > 1e-3:
             size /= 2
@@ -343,10 +373,10 @@ def regression(x: np.ndarray, y: np.ndarray, times: np.ndarray, penalty: float,
         before, now = now, loss(w)
         if before - now < 1e-6 * before:
             break
-    return w[:d], float(w[d])
+    return w
 
 
-def chosen_penalty(x: np.ndarray, y: np.ndarray, times: np.ndarray, fold: np.ndarray) -> float:
+def chosen_penalty(x: Bags, y: np.ndarray, times: np.ndarray, fold: np.ndarray) -> float:
     """The penalty whose models lose least on the training rows they were not fitted on."""
     losses = []
     for penalty in PENALTIES:
@@ -355,26 +385,38 @@ def chosen_penalty(x: np.ndarray, y: np.ndarray, times: np.ndarray, fold: np.nda
             own = fold != f
             if own.all() or not own.any():
                 continue
-            w, b = regression(x[own], y[own], times[own], penalty)
-            p = np.clip(logistic(x[~own] @ w + b), 1e-9, 1 - 1e-9)
-            loss -= float((times[~own] * (y[~own] * np.log(p) + (1 - y[~own]) * np.log(1 - p))).sum())
+            w = regression(x, y, times * own, penalty)
+            p = np.clip(logistic(x.margins(w)), 1e-9, 1 - 1e-9)
+            loss -= float((times * ~own * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
         losses.append(loss)
     return PENALTIES[int(np.argmin(losses))]
 
 
+class Vocabulary:
+    """Candidate words, those of them that toxic texts rather have, known words with their counts, and the character model."""
+
+    def __init__(self, wanted: list[str], toxic: set[str], known: dict[str, int], characters: CharacterModel) -> None:
+        self.wanted, self.toxic, self.known, self.characters = wanted, toxic, known, characters
+
+    def restorer(self) -> Restorer:
+        return Restorer(self.toxic, WordModel(self.known, self.characters))
+
+
 class ToxicityModel:
-    """Words with their weights, the log odds of a text without any, known words with their counts, and the character model."""
+    """Words with their weights, the log odds of a text without any, and the vocabulary that restores texts."""
 
-    def __init__(self, weights: dict[str, float], prior: float, known: dict[str, int], characters: CharacterModel) -> None:
-        self.weights, self.prior, self.known, self.characters = weights, prior, known, characters
+    def __init__(self, weights: dict[str, float], prior: float, vocabulary: Vocabulary) -> None:
+        self.weights, self.prior, self.vocabulary = weights, prior, vocabulary
 
     def restorer(self) -> Restorer:
-        return Restorer({w for w, x in self.weights.items() if x > 0}, WordModel(self.known, self.characters))
+        return self.vocabulary.restorer()
 
-    def score(self, restored: str) -> float:
-        found = {w for w in WORD.findall(restored) if w in self.weights}
+    def total(self, found: set[str]) -> float:
         return float(logistic(np.float64(self.prior + sum(sorted(self.weights[w] for w in found)))))
 
+    def score(self, restored: str) -> float:
+        return self.total({w for w in WORD.findall(restored) if w in self.weights})
+
 
 def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
@@ -387,72 +429,105 @@ def character_model(docs: DataFrame, text_col: str) -> CharacterModel:
     return CharacterModel(counts["gram"].to_numpy(), counts["n"].to_numpy())
 
 
-def present(wanted: list[str], toxic: set[str], known: dict[str, int], characters: CharacterModel):
-    """Labelled texts (text, toxic, fold) to the numbers of the wanted words they hold, after restoring."""
-    number = {w: i for i, w in enumerate(wanted)}
+def present(vocabulary: Vocabulary):
+    """Adds to the columns after the text the numbers of the candidate words that it holds, after restoring."""
+    number = {w: i for i, w in enumerate(vocabulary.wanted)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Restorer(toxic, WordModel(known, characters))
+        own = vocabulary.restorer()
         for batch in batches:
-            texts = own.restored([t.as_py().decode("utf-8", "replace") for t in batch.column(0)])
-            words = [sorted({number[w] for w in WORD.findall(t) if w in number}) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["words", "toxic", "fold"])
+            words, held, size = [], [], 0
+            for i, t in enumerate(batch.column(0), 1):
+                held.append(t.as_py().decode("utf-8", "replace"))
+                size += len(held[-1])
+                if size >= BUFFER or i == batch.num_rows:
+                    words += [sorted({number[w] for w in WORD.findall(x) if w in number}) for x in own.restored(held)]
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(words, pa.list_(pa.int32()))], names=[*batch.schema.names[1:], FOUND])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fits on about TOXIC_ROWS and CLEAN_ROWS labelled rows at most, outside the held-out fold, chosen by a hash of the id.
+def usable(labels: DataFrame) -> DataFrame:
+    """Every labelled id outside the held-out fold, with its label and its part of the cross-validation."""
+    rows = labels.filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id"))
+    own = rows.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
+    return own.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(PARTS)).cast("int"))
 
-    Every choice (candidate words, penalty) is made inside these rows. The character model is counted on all
-    documents, without labels.
-    """
-    usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect() if r.toxic in (0, 1)}
-    if len(sizes) < 2:
-        return ToxicityModel({}, -10.0, {}, CharacterModel.of_words({}))
-    share = {1: min(1.0, TOXIC_ROWS / sizes[1]), 0: min(1.0, CLEAN_ROWS / sizes[0])}
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.filter(((F.col("toxic") == 1) & (place < share[1])) | ((F.col("toxic") == 0) & (place < share[0]))).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(PARTS)).cast("int"))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("t")).join(F.broadcast(sample), "id").select("t", "toxic", "fold")  # about 30,000 rows of 16 bytes
-    distinct = texts.groupBy(F.xxhash64(F.lower("t")).alias("text")).agg(F.max("toxic").alias("toxic"), F.first("t").alias("t"))  # copies are no evidence of their own
-    words = distinct.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("word"))
-    counts = words.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    found = {r.toxic: r.n for r in distinct.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+def vocabulary_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Vocabulary | None:
+    """Words that all labelled rows outside the held-out fold relate to a label, by a test over them; none without rows of both labels."""
+    texts = docs.filter(~held_out(id_col)).select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("t")).withColumn("digest", F.xxhash64(F.lower("t")))
+    own = written(texts.select("id", "digest").join(usable(labels), "id").groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id")))  # copies are no evidence of their own
+    found = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = float(found.get(1, 0)), float(found.get(0, 0))
     if not bad or not good:
-        return ToxicityModel({}, -10.0, {}, CharacterModel.of_words({}))
+        discard(own)
+        return None
+    distinct = texts.join(own.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"])  # on the order of the join; texts are shuffled once, whatever the size
+    words = distinct.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("word"))
+    counts = written(words.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n")).filter(F.col("n") >= LEAST_DOCS))
     rows = bad + good
     cells = [(F.col("a"), F.col("n") * bad / rows), (F.col("n") - F.col("a"), F.col("n") * good / rows), (bad - F.col("a"), (rows - F.col("n")) * bad / rows), (good - F.col("n") + F.col("a"), (rows - F.col("n")) * good / rows)]
     odds = F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (good + 1))
     test = sum((F.when((o > 0) & (e > 0), 2 * o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
-    related = counts.withColumn("test", test).filter((F.col("test") >= EVIDENCE) & (F.abs(odds) >= EFFECT)).orderBy(F.col("test").desc(), "word").limit(CANDIDATES).collect()
-    wanted = [r.word for r in related]
-    toxic = {r.word for r in related if r.a / r.n > bad / rows}
-    known = {r.word: int(r.n) for r in counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()} | {r.word: int(r.n) for r in related}
-    characters = character_model(docs, text_col)
-    data = texts.select(F.col("t").cast("binary").alias("t"), "toxic", "fold").mapInArrow(frugal(present(wanted, toxic, known, characters)), "words array<int>, toxic int, fold int")
-    table = data.groupBy("words", "toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect()  # no more rows than the sample
-    x = np.zeros((len(table), len(wanted)), np.float32)
-    for i, r in enumerate(table):
-        x[i, r.words] = 1
-    y, times, fold = (np.array([r[k] for r in table], float) for k in (1, 3, 2))
-    lift = np.where(y == 1, 1 / share[1], 1 / share[0]) * times  # the sample's shares of the labels as all labels have them
-    w, b = regression(x, y, lift, chosen_penalty(x, y, lift, fold))
-    return ToxicityModel({word: float(v) for word, v in zip(wanted, w, strict=True) if v}, b, known, characters)
+    related = counts.withColumn("test", test).filter((F.col("test") >= EVIDENCE) & (F.abs(odds) >= EFFECT)).orderBy(F.col("test").desc(), "word").collect()
+    least, more = math.inf, 0  # how often a known word is seen at least
+    for r in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        more += r["count"]
+        if more > KNOWN:
+            break
+        least = r.n
+    known = {r.word: int(r.n) for r in counts.filter(F.col("n") >= least).collect()} | {r.word: int(r.n) for r in related}
+    discard(own, counts)
+    return Vocabulary([r.word for r in related], {r.word for r in related if r.a / r.n > bad / rows}, known, character_model(docs, text_col))
+
+
+def found_words(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, held_out and the numbers of the candidate words in its restored text, as a table."""
+    rows = docs.select(text_of(text_col).cast("binary").alias("the text"), F.col(f"`{id_col}`").alias(id_col), held_out(id_col).alias("held_out"))
+    return written(rows.mapInArrow(frugal(present(vocabulary)), rows.drop("the text").schema.add(FOUND, ArrayType(IntegerType()))))
+
+
+def fitted(found: DataFrame, vocabulary: Vocabulary, labels: DataFrame, id_col: str) -> ToxicityModel:
+    """The regression over all labelled rows outside the held-out fold.
+
+    Rows with the same words, label and part are counted together; the driver gets these counts, whose
+    number grows with the sets of candidate words that texts hold and not with the texts.
+    """
+    rows = found.filter("not held_out").select(F.col(f"`{id_col}`").cast("long").alias("id"), FOUND).join(usable(labels), "id")
+    table = rows.groupBy(FOUND, "toxic", "fold").agg(F.count(F.lit(1)).alias("n")).select(FOUND, "toxic", "fold", "n").toArrow().combine_chunks()
+    x = Bags(pa.concat_arrays(table[FOUND].chunks), len(vocabulary.wanted))
+    y, fold, times = (table[c].to_numpy().astype(float) for c in ("toxic", "fold", "n"))
+    *weights, prior = regression(x, y, times, chosen_penalty(x, y, times, fold))
+    return ToxicityModel({word: float(v) for word, v in zip(vocabulary.wanted, weights, strict=True)}, float(prior), vocabulary)
+
+
+def unlabelled() -> ToxicityModel:
+    """No text is toxic."""
+    return ToxicityModel({}, -10.0, Vocabulary([], set(), {}, CharacterModel.of_words({})))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    """Fits on every labelled row outside the held-out fold.
+
+    Every choice (candidate words, penalty) is made inside these rows. The character model is counted on all
+    documents, without labels.
+    """
+    vocabulary = vocabulary_of(docs, labels, id_col, text_col)
+    if vocabulary is None:
+        return unlabelled()
+    found = found_words(docs.filter(~held_out(id_col)), vocabulary, id_col, text_col)
+    model = fitted(found, vocabulary, labels, id_col)
+    discard(found)
+    return model
 
 
 def scorer(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = model.restorer()
+        weights = model.vocabulary.wanted
         for batch in batches:
-            scores, held, size = [], [], 0
-            for i, t in enumerate(batch.column(0), 1):
-                held.append(t.as_py().decode("utf-8", "replace"))
-                size += len(held[-1])
-                if size >= BUFFER or i == batch.num_rows:
-                    scores += [model.score(x) for x in restorer.restored(held)]
-                    held, size = [], 0
+            scores = [model.total({weights[i] for i in words.as_py()}) for words in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
 
     return run
@@ -464,11 +539,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     A score uses the text only, whole and of any length. Null texts are empty, and an empty text has the
     prior's score, as has every text without a weighed word, so ties are common. Rows with a null id are
     scored like others. Without labelled rows of both kinds no text is toxic. Repeated rows get the same
-    score; an empty table gives no rows; other columns are ignored whatever their names.
+    score; an empty table gives no rows; other columns are ignored whatever their names. Texts are restored
+    once: the regression and the scores use the same table of the words found in them.
     """
-    model = fit(docs, labels, id_col, text_col)
-    rows = docs.select(text_of(text_col).cast("binary").alias("the text"), F.col(f"`{id_col}`").alias(id_col), held_out(id_col).alias("held_out"))
-    out = rows.mapInArrow(frugal(scorer(model)), rows.drop("the text").schema.add("score", "double"))
+    vocabulary = vocabulary_of(docs, labels, id_col, text_col)
+    model = unlabelled()
+    found = found_words(docs, vocabulary or model.vocabulary, id_col, text_col)
+    if vocabulary is not None:
+        model = fitted(found, vocabulary, labels, id_col)
+    scored = found.select(FOUND, F.col(f"`{id_col}`"), "held_out")
+    out = scored.mapInArrow(frugal(scorer(model)), scored.drop(FOUND).schema.add("score", "double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -10,7 +10,9 @@ from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import html_text, registry, topk
 from granary.llm.exact_dedup import Index, Run, exact_dedup, exact_groups
@@ -21,7 +23,7 @@ from granary.llm.packing import Capacities, best_fit, cut, encoder, pack_documen
 from granary.llm.substring_dedup import substring_dedup
 from granary.llm.suffix_dedup import suffix_dedup
 from granary.llm.suffix_sort import deep_shallow
-from granary.llm.toxicity import ORDER, SIZE, SYMBOL, CharacterModel, Restorer, WordModel, arcs, decode, fit, toxicity
+from granary.llm.toxicity import ORDER, SIZE, SYMBOL, Bags, CharacterModel, Restorer, WordModel, arcs, decode, fit, logistic, regression, toxicity
 
 SF = "/root/testdata/sf0.001"
 # Columns beyond the id and the text have names that operators use inside.
@@ -341,6 +343,30 @@ def test_words_of_a_small_language(spark):
     assert all(model.score(t) > 0.5 for t in restorer.restored(["$cum", "and bomentell", "b0mentell"])) and model.score("the and ciones") < 0.5
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    ids = spark.range(40_000).withColumn("toxic", (F.col("id") % 5 < 2).cast("int"))  # 12,800 toxic training rows, each of 641 words in about 20 of them
+    late = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) >= int(0.9 * (1 << 30))  # places that a sample of 10,000 by this hash left out
+    word = F.concat(F.lit("zq"), F.translate((F.col("id") % 641).cast("string"), "0123456789", "bdfhjkmnpr"))
+    text = F.concat_ws(" ", F.col("id"), F.when(F.col("toxic") == 1, word), F.when((F.col("toxic") == 1) & late, F.lit("scum")), F.lit("the and"))
+    docs = ids.select(F.col("id").alias("doc_id"), text.alias("text"))
+    model = fit(docs, ids.selectExpr("id as doc_id", "1 as quality", "toxic"))
+    want = {"zq" + "".join("bdfhjkmnpr"[int(c)] for c in str(i)) for i in range(641)}
+    assert set(model.weights) == want | {"scum"} and model.weights["scum"] > 0
+
+
+def test_regression_is_at_its_optimum():
+    rng = np.random.default_rng(5)
+    sets = [sorted(rng.choice(12, rng.integers(0, 6), replace=False).tolist()) for _ in range(200)]
+    y, times = rng.integers(0, 2, 200).astype(float), rng.integers(1, 5, 200).astype(float)
+    dense = np.ones((200, 13))
+    for i, s in enumerate(sets):
+        dense[i, :12] = np.isin(np.arange(12), s)
+    goal = np.log(((times * y) @ dense[:, :12] + 0.5) / (times @ y + 1)) - np.log(((times * (1 - y)) @ dense[:, :12] + 0.5) / (times @ (1 - y) + 1))
+    w = regression(Bags(pa.array(sets, pa.list_(pa.int32())), 12), y, times, 0.1)
+    slope = dense.T @ (times * (logistic(dense @ w) - y)) + np.append(0.1 * (w[:12] - goal), 0)
+    assert np.abs(slope).max() < 1e-2
+
+
 TOXIC = "idiot moron clown scum trash loser stupid pathetic asshole worthless".split()
 
 
